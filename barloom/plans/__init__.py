@@ -29,4 +29,6 @@ def load() -> None:
         panel,
         features,
         cross_section,
+        recursions,
+        books,
     )

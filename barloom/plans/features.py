@@ -199,7 +199,7 @@ def _(spark, sf):
     return m.select("code", "mi", r6(F.col("a") / F.col("tot")).alias("share"))
 
 
-EPI = q.BOOKRET + """, m AS (SELECT date, ln(1 + avg(cret)) - 0.1725 AS x FROM br WHERE cret IS NOT NULL GROUP BY date),
+EPI = q.BOOKRET + """, m AS (SELECT date, ln(1 + avg(cret)) - 0.1304 AS x FROM br WHERE cret IS NOT NULL GROUP BY date),
  w AS (SELECT date, x, sum(x) OVER (ORDER BY date) AS lw FROM m),
  dd AS (SELECT date, exp(lw - max(lw) OVER (ORDER BY date)) - 1 AS d FROM w)"""
 
@@ -218,7 +218,7 @@ def _dd_book(spark, sf):
     from .panel import market
 
     w = Window.orderBy("date")
-    m = market(spark, sf).withColumn("lw", F.sum(F.log1p("mret") - 0.1725).over(w))
+    m = market(spark, sf).withColumn("lw", F.sum(F.log1p("mret") - 0.1304).over(w))
     return m.withColumn("dd", F.exp(F.col("lw") - F.max("lw").over(w)) - 1)
 
 
