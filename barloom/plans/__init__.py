@@ -31,4 +31,5 @@ def load() -> None:
         cross_section,
         recursions,
         books,
+        event_plans,
     )
