@@ -32,4 +32,7 @@ def load() -> None:
         recursions,
         books,
         event_plans,
+        statistics,
+        forecasting,
+        shape_plans,
     )

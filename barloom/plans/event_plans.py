@@ -134,7 +134,9 @@ def _(spark, sf):
               "stop_mult": F.element_at(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0)), F.col("si") + 1)}
     tr = events.opening_fade(d, ["wi", "si", *SESS], 3, 15, params=params).where("stage = 'traded'")
     cells = tr.groupBy("wi", "si").agg(F.count(F.lit(1)).alias("n"), F.avg("r_multiple").alias("avg_r"))
-    nb = grid_neighbourhood(cells, ["wi", "si"], "avg_r")
+    from ..session import materialise
+
+    nb = grid_neighbourhood(materialise(cells), ["wi", "si"], "avg_r")  # nine cells, written once
     return nb.select("wi", "si", "n", *[r6(c).alias(c) for c in ("avg_r", "nb_min", "nb_max", "nb_mean")], "nb_n")
 
 
