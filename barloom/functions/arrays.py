@@ -12,6 +12,15 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once inside a larger expression.
+
+    A mean used inside ``transform`` would be re-evaluated for every element; as the variable of a
+    one-element ``transform`` it is evaluated once per row.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def a_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +30,7 @@ def a_mean(a: Column) -> Column:
 
 
 def a_var_pop(a: Column) -> Column:
-    m = a_mean(a)
-    return a_sum(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a)
+    return let(a_mean(a), lambda m: a_sum(F.transform(a, lambda x: (x - m) * (x - m)))) / F.size(a)
 
 
 def a_dot(a: Column, b: Column) -> Column:
@@ -49,8 +57,10 @@ def a_argmax(a: Column) -> Column:
 
 def znorm(a: Column, eps: float = 1e-9) -> Column:
     """Shape of a window: level and scale removed with the population deviation."""
-    m, sd = a_mean(a), F.sqrt(a_var_pop(a))
-    return F.transform(a, lambda x: (x - m) / (sd + eps))
+    return let(
+        F.struct(a_mean(a).alias("m"), (F.sqrt(a_var_pop(a)) + eps).alias("s")),
+        lambda b: F.transform(a, lambda x: (x - b["m"]) / b["s"]),
+    )
 
 
 def resample(a: Column, length: int, points: int) -> Column:
@@ -92,17 +102,24 @@ def interval_hit(lo: Column, hi: Column, y: Column) -> Column:
 
 def interp_clamped(x: str | Column, xs: str | Column, ys: str | Column) -> Column:
     """Piecewise-linear interpolation through non-decreasing ``xs``, flat beyond both ends."""
-    x, xs, ys = col(x), col(xs), col(ys)
-    n = F.size(xs)
-    k = F.size(F.filter(xs, lambda v: v <= x))
-    x0, x1 = F.element_at(xs, k), F.element_at(xs, k + 1)
-    y0, y1 = F.element_at(ys, k), F.element_at(ys, k + 1)
-    return (
-        F.when(x.isNull(), None)
-        .when(k == 0, F.element_at(ys, 1))
-        .when(k >= n, F.element_at(ys, -1))
-        .otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
-    )
+    ys = col(ys)
+
+    def between(b: Column) -> Column:
+        x_, xs_, k = b["x"], b["xs"], b["k"]
+        x0, x1 = F.element_at(xs_, k), F.element_at(xs_, k + 1)
+        y0, y1 = F.element_at(ys, k), F.element_at(ys, k + 1)
+        return (
+            F.when(x_.isNull() | xs_.isNull(), None)
+            .when(k == 0, F.element_at(ys, 1))
+            .when(k >= F.size(xs_), F.element_at(ys, -1))
+            .otherwise(y0 + (y1 - y0) * (x_ - x0) / (x1 - x0))
+        )
+
+    def located(b: Column) -> Column:
+        k = F.size(F.filter(b["xs"], lambda v: v <= b["x"]))
+        return let(F.struct(b["x"].alias("x"), b["xs"].alias("xs"), k.alias("k")), between)
+
+    return let(F.struct(col(x).alias("x"), col(xs).alias("xs")), located)
 
 
 def pit(q: str | Column, y: str | Column, levels: list[float]) -> Column:

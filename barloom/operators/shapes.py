@@ -38,19 +38,25 @@ def vol_scaled_windows(df: DataFrame, keys: list[str], pos: str, logp: str, leng
 
 def shape_features(a: Column, points: int) -> dict[str, Column]:
     """Drift, increment skew, lag-1 autocorrelation of increments, early-minus-late move, range."""
-    inc = fa.a_diff(a)
-    m = fa.a_mean(inc)
-    var = fa.a_var_pop(inc)
     n = points - 1
-    sd = F.sqrt(var) + 1e-9
-    skew = fa.a_sum(F.transform(inc, lambda v: F.pow((v - m) / sd, F.lit(3)))) / n
-    lead, lag = F.slice(inc, 2, n - 1), F.slice(inc, 1, n - 1)
-    ac1 = fa.a_sum(F.zip_with(lag, lead, lambda u, v: (u - m) * (v - m))) / (n - 1) / (var + 1e-12)
+
+    def moments(inc: Column) -> Column:
+        stats = F.struct(fa.a_mean(inc).alias("m"), fa.a_var_pop(inc).alias("v"))
+
+        def from_moments(b: Column) -> Column:
+            m, v = b["m"], b["v"]
+            skew = fa.a_sum(F.transform(inc, lambda x: F.pow((x - m) / (F.sqrt(v) + 1e-9), F.lit(3)))) / n
+            pairs = F.zip_with(F.slice(inc, 1, n - 1), F.slice(inc, 2, n - 1), lambda x, y: (x - m) * (y - m))
+            return F.struct(skew.alias("skew"), (fa.a_sum(pairs) / (n - 1) / (v + 1e-12)).alias("ac1"))
+
+        return fa.let(stats, from_moments)
+
+    shape = fa.let(fa.a_diff(a), moments)
     mid = F.element_at(a, points // 2 + 1)
     return {
         "f_drift": F.element_at(a, -1),
-        "f_skew": skew,
-        "f_ac1": ac1,
+        "f_skew": shape["skew"],
+        "f_ac1": shape["ac1"],
         "f_early_late": mid - (F.element_at(a, -1) - mid),
         "f_range": F.array_max(a) - F.array_min(a),
     }

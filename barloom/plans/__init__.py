@@ -35,4 +35,5 @@ def load() -> None:
         statistics,
         forecasting,
         shape_plans,
+        stream_plans,
     )
