@@ -16,9 +16,12 @@ def col(x: str | Column) -> Column:
 
 
 def r6(x: str | Column, places: int = 6) -> Column:
-    """Output rounding, half up on the scaled binary value, so any engine with IEEE doubles agrees."""
+    """Output rounding, half up on the scaled binary value, so any engine with IEEE doubles agrees.
+
+    The offset is a little above one half: exact ties then do not hang on the order of a sum.
+    """
     scale = 10.0**places
-    return F.floor(col(x) * scale + 0.5) / scale
+    return F.floor(col(x) * scale + 0.5001) / scale
 
 
 def null_if_nan(x: str | Column) -> Column:

@@ -67,26 +67,37 @@ def forward_fill(x: str | Column, key: str, pos: str, limit: int) -> Column:
     return F.last(col(x), ignorenulls=True).over(w)
 
 
-def turnover(weights: DataFrame, book: list[str], key: str = "code", step: str = "step", weight: str = "w",
-             initial: bool = True) -> DataFrame:
-    """Sum of absolute weight changes per step, missing names counting as zero weight.
+def weight_changes(weights: DataFrame, keys: list[str], step: str, weight: str = "w", sums: dict[str, Column] | None = None) -> DataFrame:
+    """Change of each name's weight per step, missing names counting as zero weight.
 
-    Each weight is posted at its own step (+w) and at the next one (-w); grouping by (name, step)
-    gives the change without a full outer self-join. ``initial`` keeps or drops the first step's cost.
+    Each weight is posted at its own step (+w) and at the next one (-w), so one grouping by (name, step)
+    replaces a full outer self-join and the input is read once. ``sums`` are totalled over the rows of
+    their own step. ``__here`` marks steps at which the book exists.
     """
-    here = weights.select(*book, key, step, F.col(weight).alias("__d"))
-    nxt = weights.select(*book, key, (F.col(step) + 1).alias(step), (-F.col(weight)).alias("__d"))
-    steps = weights.select(*book, step).distinct()
-    moves = (
-        here.unionByName(nxt)
-        .groupBy(*book, key, step)
-        .agg(F.sum("__d").alias("dw"))
-        .join(steps, [*book, step], "left_semi")
+    sums = sums or {}
+    zero = [F.lit(0.0).alias(k) for k in sums]
+    here = F.struct(F.col(step).alias("s"), F.col(weight).cast("double").alias("d"), F.lit(1).alias("h"), *[c.cast("double").alias(k) for k, c in sums.items()])
+    nxt = F.struct((F.col(step) + 1).alias("s"), (-F.col(weight)).cast("double").alias("d"), F.lit(0).alias("h"), *zero)
+    posted = weights.select(*keys, F.explode(F.array(here, nxt)).alias("__p"))
+    return posted.groupBy(*keys, F.col("__p.s").alias(step)).agg(
+        F.sum("__p.d").alias("dw"), F.max("__p.h").alias("__here"), *[F.sum(f"__p.{k}").alias(k) for k in sums]
     )
+
+
+def turnover(weights: DataFrame, book: list[str], key: str = "code", step: str = "step", weight: str = "w",
+             initial: bool = True, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Sum of absolute weight changes per step, with the bought part and any extra per-step sums.
+
+    ``initial`` keeps or drops the first step's cost.
+    """
+    moves = weight_changes(weights, [*book, key], step, weight, sums)
     out = moves.groupBy(*book, step).agg(
         F.sum(F.abs("dw")).alias("turnover"),
         F.sum(F.greatest("dw", F.lit(0.0))).alias("bought"),
+        F.max("__here").alias("__here"),
+        *[F.sum(k).alias(k) for k in (sums or {})],
     )
+    out = out.where("__here = 1").drop("__here")
     if not initial:
         w = Window.partitionBy(*book) if book else Window.partitionBy(F.lit(0))
         first = F.min(step).over(w) == F.col(step)

@@ -30,9 +30,11 @@ def timing_book(df: DataFrame, pos: str, ret: str, step: str = "cal", cost: floa
     denom = F.sum("__in") if concentrate else F.count(F.lit(1))
     d = xsec.with_stats(d, step, {"__den": denom}, splits)
     d = d.withColumn("w", F.when(F.col("__den") > 0, F.col("__in") / F.col("__den")).otherwise(F.lit(0.0)))
-    gross = d.groupBy(step).agg(F.sum(F.col("w") * F.col(ret)).alias("gross"), F.avg(ret).alias("bnh"), F.sum("__in").cast("long").alias("held"))
-    turn = align.turnover(d, [], step=step).select(step, "turnover")
-    return gross.join(turn, step).withColumn("strat", F.col("gross") - F.col("turnover") * cost)
+    sums = {"gross": F.col("w") * F.col(ret), "__r": F.col(ret), "__n": F.lit(1.0), "held": F.col("__in")}
+    out = align.turnover(d, [], step=step, sums=sums)
+    return out.select(step, "turnover", "gross", (F.col("__r") / F.col("__n")).alias("bnh"), F.col("held").cast("long").alias("held")).withColumn(
+        "strat", F.col("gross") - F.col("turnover") * cost
+    )
 
 
 def single_strategy(pos: Column, ret: Column, cost: float, keys: list[str], order: str) -> Column:
@@ -50,28 +52,28 @@ def quintile_weights(df: DataFrame, by: str, signal: str, frac: float, min_names
 
 def long_short_book(weights: DataFrame, universe: DataFrame, step: str, ret: str, cost_bps: float) -> DataFrame:
     """Per step: leg returns, universe mean, both turnovers and the net long/short return."""
-    legs = weights.groupBy(step).agg(
-        F.avg(F.when(F.col("leg") == 1, F.col(ret))).alias("long_ret"),
-        F.avg(F.when(F.col("leg") == -1, F.col(ret))).alias("short_ret"),
-        F.max("k").alias("k"),
-    )
     uni = universe.groupBy(step).agg(F.avg(ret).alias("uni_ret"), F.count(ret).alias("n_names"))
-    turn = align.turnover(weights.withColumn("side", F.col("leg")), ["side"], step=step)
-    turn = turn.groupBy(step).agg(
-        F.sum(F.when(F.col("side") == 1, F.col("turnover"))).alias("long_turnover"),
-        F.sum(F.when(F.col("side") == -1, F.col("turnover"))).alias("short_turnover"),
+    side = align.turnover(weights.withColumn("side", F.col("leg")), ["side"], step=step, sums={"r": F.col(ret), "m": F.lit(1.0), "kk": F.col("k").cast("double")})
+
+    def of(leg: int, x: Column) -> Column:
+        return F.max(F.when(F.col("side") == leg, x))
+
+    mean = F.col("r") / F.col("m")
+    legs = side.groupBy(step).agg(
+        of(1, mean).alias("long_ret"), of(-1, mean).alias("short_ret"), F.max(F.col("kk") / F.col("m")).cast("long").alias("k"),
+        of(1, F.col("turnover")).alias("long_turnover"), of(-1, F.col("turnover")).alias("short_turnover"),
     )
-    out = legs.join(uni, step).join(turn, step)
+    out = legs.join(uni, step)
     net = F.col("long_ret") - F.col("short_ret") - (F.col("long_turnover") + F.col("short_turnover")) * cost_bps / 1e4
     return out.withColumn("ls_net", net)
 
 
 def tiered_cost(weights: DataFrame, spreads: DataFrame, book: list[str], step: str, spread: str = "spread_bps") -> DataFrame:
     """Sum of |dw| * spread/2 per step; names without a current spread pay the step's median."""
-    here = weights.select(*book, "code", step, F.col("w").alias("d"))
-    nxt = weights.select(*book, "code", (F.col(step) + 1).alias(step), (-F.col("w")).alias("d"))
-    steps = weights.select(*book, step).distinct()
-    dw = here.unionByName(nxt).groupBy(*book, "code", step).agg(F.sum("d").alias("dw")).join(steps, [*book, step], "left_semi")
+    moves = align.weight_changes(weights, [*book, "code"], step)
+    # a name sold at a step may be alone there, so the book's steps are the ones holding any weight
+    live = moves.groupBy(*book, step).agg(F.max("__here").alias("__live")).where("__live = 1").drop("__live")
+    dw = moves.drop("__here").join(live, [*book, step], "left_semi")
     med = spreads.groupBy(step).agg(F.percentile(spread, F.lit(0.5)).alias("med"))  # three distinct tiers per step
     priced = dw.join(spreads.select(step, "code", spread), [step, "code"], "left").join(med, step)
     px = F.coalesce(F.col(spread), F.col("med"))

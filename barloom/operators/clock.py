@@ -42,7 +42,11 @@ class Clock:
     def __init__(self, keys, pos: str = "pos"):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.pos = pos
-        self.ordered = Window.partitionBy(*self.keys).orderBy(pos)
+
+    @property
+    def ordered(self) -> WindowSpec:
+        # built on use: a window needs a running session, a clock may be a module constant
+        return Window.partitionBy(*self.keys).orderBy(self.pos)
 
     def back(self, n: int, lag: int = 0) -> WindowSpec:
         """The last ``n`` ticks, ending ``lag`` ticks ago."""

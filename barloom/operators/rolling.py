@@ -67,14 +67,18 @@ def channel(df: DataFrame, c: Clock, log_price: str, n: int, k: float = 2.0) ->
     """Rolling least-squares line of log price on the clock: gradient, r2, sigma, bands at the last bar."""
     y, t = F.col(log_price), F.col(c.pos).cast("double")
     w = c.back(n)
+    # the clock is an integer grid, so its own moments are constants and three sliding sums are enough
     full = F.count(y).over(w) == n
-    slope = F.when(full, F.regr_slope(y, t).over(w))
-    icpt = F.when(full, F.regr_intercept(y, t).over(w))
-    r2 = F.when(full, F.coalesce(F.regr_r2(y, t).over(w), F.lit(1.0)))
-    var = F.when(full, F.var_pop(y).over(w))
-    df = df.withColumns({"gradient": slope, "__icpt": icpt, "r2": r2, "__var": var})
+    df = df.withColumns({"__sy": F.when(full, F.sum(y).over(w)), "__syy": F.sum(y * y).over(w), "__sty": F.sum(t * y).over(w)})
+    stt = n * (n * n - 1) / 12.0
+    tm, ym = t - (n - 1) / 2.0, F.col("__sy") / n
+    sty = F.col("__sty") - tm * F.col("__sy")
+    syy = F.col("__syy") - ym * F.col("__sy")
+    df = df.withColumns({"gradient": sty / stt, "__var": syy / n, "__m0": ym})
+    fit = F.col("gradient") * F.col("gradient") * stt / n
+    df = df.withColumn("r2", F.when(F.col("__var") > 0, fit / F.col("__var")).when(F.col("__var").isNotNull(), F.lit(1.0)))
     sigma = F.sqrt(F.greatest(F.col("__var") * (1 - F.col("r2")), F.lit(0.0)))
-    mid = F.col("__icpt") + F.col("gradient") * t
+    mid = F.col("__m0") + F.col("gradient") * ((n - 1) / 2.0)
     df = df.withColumns({"sigma": F.when(F.col("r2").isNotNull(), sigma), "__mid": mid})
     return df.withColumns(
         {
@@ -83,7 +87,7 @@ def channel(df: DataFrame, c: Clock, log_price: str, n: int, k: float = 2.0) ->
             "lower": F.exp(F.col("__mid") - F.col("sigma") * k),
             "annual_gradient": F.exp(F.col("gradient") * ANNUAL) - 1,
         }
-    ).drop("__icpt", "__var", "__mid")
+    ).drop("__sy", "__syy", "__sty", "__var", "__m0", "__mid")
 
 
 def drawdown_depth(c: Clock, log_price: str, n: int) -> Column:

@@ -8,6 +8,8 @@ per-instrument helper on groups bounded by the calendar; Spark spreads instrumen
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,11 +57,11 @@ def hull_edges(values: np.ndarray) -> list[tuple[int, int]]:
 def prior_lines(low: np.ndarray, high: np.ndarray, min_span: int) -> list[tuple]:
     """For each bar, the support and resistance line known from strictly earlier bars (log space)."""
     sup, res, out = RunningHull(), RunningHull(), []
-    for i in range(len(low)):
+    for i, (lo, hi) in enumerate(zip(np.log(low).tolist(), (-np.log(high)).tolist())):
         s, r = sup.line(min_span), res.line(min_span)
         out.append((s, (r[0], r[1], -r[2], -r[3]) if r else None))
-        sup.add(i, np.log(low[i]))
-        res.add(i, -np.log(high[i]))
+        sup.add(i, lo)
+        res.add(i, hi)
     return out
 
 
@@ -67,6 +69,10 @@ def ray(line: tuple, at) -> np.ndarray:
     return np.exp(line[2] + line[3] * (np.asarray(at, float) - line[0]))
 
 
+def level(line: tuple, at: int) -> float:
+    return math.exp(line[2] + line[3] * (at - line[0]))
+
+
 def touches(values: np.ndarray, line: tuple, band: np.ndarray, end: int) -> tuple[int, int, int]:
     """Episodes of ``values`` within ``band`` of the ray over [line start, end): count, first, last start."""
     a = line[0]
@@ -81,12 +87,13 @@ def breakout_at(i: int, lines: list, low, high, band, min_touches: int):
     if sup is None or res is None:
         return None
     for direction, action, safety, series, gap in (
-        ("LONG", res, sup, high, high[i] - float(ray(res, i))),
-        ("SHORT", sup, res, low, float(ray(sup, i)) - low[i]),
+        ("LONG", res, sup, high, high[i] - level(res, i)),
+        ("SHORT", sup, res, low, level(sup, i) - low[i]),
     ):
-        n = touches(series, action, band, i)
-        if n[0] >= min_touches and gap > band[i]:
-            return direction, action, safety, n, gap
+        if gap > band[i]:  # the cheap test first: most bars break nothing
+            n = touches(series, action, band, i)
+            if n[0] >= min_touches:
+                return direction, action, safety, n, gap
     return None
 
 
@@ -158,7 +165,7 @@ def breakout_trades(df: DataFrame, keys: list[str], k: float = 0.5, min_touches:
             for j in range(e, n):
                 safety = lines[j][0 if up else 1]
                 if safety is not None:
-                    stop = max(stop, sign * float(ray(safety, j)))
+                    stop = max(stop, sign * level(safety, j))
                 worst = low[j] if up else -high[j]
                 if worst <= stop:
                     x, px = j, sign * min(sign * opens[j], stop)
@@ -167,7 +174,7 @@ def breakout_trades(df: DataFrame, keys: list[str], k: float = 0.5, min_touches:
             ts = touches(low if up else high, saf, band, i)
             rows.append((
                 i, x, dates[e], dates[x], direction, opens[e], px, max(1, int((dates[x] - dates[e]) / np.timedelta64(1, "D"))),
-                act[0], act[1], saf[0], saf[1], act[3], saf[3], abs(float(ray(act, i)) - float(ray(saf, i))) / opens[e], *tch, *ts,
+                act[0], act[1], saf[0], saf[1], act[3], saf[3], abs(level(act, i) - level(saf, i)) / opens[e], *tch, *ts,
                 gap / atr[i] if atr[i] > 0 else None, vol[i] / base if base > 0 else None,
             ))
             i = x + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def r(expr: str, places: int = 6) -> str:
     """Text twin of ``r6``."""
-    return f"(floor(({expr}) * 1e{places} + 0.5) / 1e{places})"
+    return f"(floor(({expr}) * 1e{places} + 0.5001) / 1e{places})"
 
 
 TRADES = """trades AS (
