@@ -6,6 +6,8 @@ Windows ordered by step without instrument keys only ever see that one-row-per-s
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,6 +111,49 @@ def gated_neutral(df: DataFrame, by: str, z: str, vol: str, gate: float, min_gat
     return g.withColumn("w", F.try_divide("__d", "__gross")).drop("__r", "__n", "__m", "__d", "__gross")
 
 
+def blended_book(targets: DataFrame, alpha: float, key: str = "code", step: str = "step", weight: str = "w", parity: bool = True,
+                 tol: float = 1e-10, max_passes: int = 200) -> DataFrame:
+    """Partial adjustment towards target weights, renormalised to unit gross on every step.
+
+    v_t = a*target_t + c*w_{t-1}, w_t = v_t / g_t with g_t = sum |v_t|; c is alpha*(1-alpha) in ``parity``
+    mode and (1-alpha) otherwise. Names are coupled only through the one number g_t per step. For known
+    g every name is a linear recursion, which is one running sum per name; the gross it implies is then
+    one aggregation. The two are repeated until g stands still: the first step is exact after one pass,
+    each pass fixes at least one more, and the error shrinks geometrically, so only the short (step, g)
+    table travels between passes and no task ever sees the whole book.
+
+    Returns (key, step, w) for every step at or after a name's first target.
+    """
+    from ..session import materialise
+
+    c = alpha * (1 - alpha) if parity else 1 - alpha
+    steps = targets.agg(F.min(step).alias("lo"), F.max(step).alias("hi"))
+    spans = targets.groupBy(key).agg(F.min(step).alias("__lo")).join(F.broadcast(steps))
+    grid = spans.select(key, F.explode(F.sequence("__lo", "hi")).alias(step))
+    base = grid.join(targets.select(key, step, F.col(weight).cast("double").alias("__t")), [key, step], "left").fillna(0.0, ["__t"])
+    base = materialise(base.repartition(key))
+    w = Window.partitionBy(key).orderBy(step)
+    spark, w = targets.sparkSession, Window.partitionBy(key).orderBy(step)
+    # one number per rebalance step: a few hundred, held as a literal table between passes
+    g = {r[0]: r[1] or 1.0 for r in base.groupBy(step).agg(F.sum(F.abs(F.col("__t") * alpha))).collect()}
+    for _ in range(max_passes):
+        known, level = [], 0.0
+        for s in sorted(g):
+            level += math.log(c / g[s])
+            known.append((s, g[s], level))
+        table = spark.createDataFrame(known, f"{step} long, __g double, __l double")
+        d = base.join(F.broadcast(table), step)
+        run = F.sum(F.col("__t") * alpha / F.col("__g") * F.exp(-F.col("__l"))).over(w)
+        d = d.withColumn("__w", run * F.exp("__l"))
+        v = F.col("__t") * alpha + F.coalesce(F.lag("__w").over(w), F.lit(0.0)) * c
+        new = {r[0]: r[1] or 1.0 for r in d.withColumn("__v", v).groupBy(step).agg(F.sum(F.abs("__v")).alias("n")).collect()}
+        moved = max(abs(new[s] - g[s]) for s in new)
+        g = new
+        if moved <= tol:
+            break
+    return d.select(key, step, F.col("__w").alias(weight))
+
+
 def carry_rebalance(df: DataFrame, key: str, step: str, value: Column, every: int, first: int) -> Column:
     """Value formed on rebalance steps ((step-first) % every == 0) and held until the next one."""
     formed = F.when((F.col(step) - first) % every == 0, value)

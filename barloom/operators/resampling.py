@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 RANGE = 16**12
 
 
@@ -46,17 +48,23 @@ def block_bootstrap(spark: SparkSession, df: DataFrame, block: str, value: str,
     return q.join(F.broadcast(b.agg((F.sum("s") / F.sum("n")).alias("mean"))))
 
 
-def permute_within(df: DataFrame, keys: list[str], pos: str, value: str, seed: int, rep: str = "rep", out: str | None = None, row_id: Column | None = None) -> DataFrame:
+def permute_within(df: DataFrame, keys: list[str], pos: str, value: str, seed: int, rep: str = "rep", out: str | None = None, row_id: Column | None = None,
+                   splits: int = 1) -> DataFrame:
     """Shuffle the non-null values inside each (replica, key), leaving NULL positions in place.
 
-    The i-th valid row takes the value whose hash ranks i-th.
+    The i-th valid row takes the value whose hash ranks i-th. ``splits`` above one spreads each group's
+    ranking over several tasks (numeric ``pos`` only), for groups that are whole cross-sections.
     """
+    from . import xsec
+
     rid = row_id if row_id is not None else F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col(pos).cast("string"))
     part = [rep, *keys]
     ok = df.where(F.col(value).isNotNull())
-    slot = F.row_number().over(Window.partitionBy(*part).orderBy(pos))
-    pick = F.row_number().over(Window.partitionBy(*part).orderBy(hash_int(seed, F.col(rep), rid), pos))
-    d = ok.select(*part, pos, value, slot.alias("__slot"), pick.alias("__pick"))
+    d = ok.select(*part, pos, value, hash_int(seed, F.col(rep), rid).alias("__h"))
+    d = xsec.with_row_number(d, part, pos, pos, "__slot", splits=splits)
+    d = xsec.with_row_number(d, part, "__h", pos, "__pick", splits=splits)
+    if splits > 1:
+        d = materialise(d)
     took = d.select(*part, F.col("__pick").alias("__slot"), F.col(value).alias("__new"))
     new = d.join(took, [*part, "__slot"]).select(*part, pos, "__new")
     res = df.join(new, [*part, pos], "left")

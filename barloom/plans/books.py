@@ -97,13 +97,13 @@ def composite_weights(spark, sf, frac=0.2):
  dw AS (SELECT coalesce(a.mi, b.mi + 1) AS mi, coalesce(a.code, b.code) AS code, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM wts a FULL JOIN wts b ON a.code = b.code AND a.mi = b.mi + 1),
  ct AS (SELECT mi, sum(d * coalesce(bps, med) / 2 / 1e4) AS cost, sum(d) AS turnover FROM dw LEFT JOIN sp USING (mi, code) JOIN md USING (mi) GROUP BY mi),
  g AS (SELECT mi, avg(fret) AS gross FROM wts GROUP BY mi)
- SELECT mi, {r('gross')} AS gross, {r('cost')} AS cost, {r('turnover')} AS turnover, {r('gross - cost')} AS net FROM g JOIN ct USING (mi)""")
+ SELECT mi, {r('gross')} AS gross, {r('cost', 8)} AS cost, {r('turnover')} AS turnover, {r('gross - cost')} AS net FROM g JOIN ct USING (mi)""")
 def _(spark, sf):
     w, el = composite_weights(spark, sf)
     sp = xsec.cost_tier(el, "mi", "turnover", splits=splits(spark, sf)).select("code", "mi", "spread_bps")
     c = book.tiered_cost(w, sp, [], "mi")
     g = w.groupBy("mi").agg(F.avg("fret").alias("gross")).join(c, "mi")
-    return g.select("mi", r6("gross").alias("gross"), r6("cost").alias("cost"), r6("turnover").alias("turnover"), r6(F.col("gross") - F.col("cost")).alias("net"))
+    return g.select("mi", r6("gross").alias("gross"), r6("cost", 8).alias("cost"), r6("turnover").alias("turnover"), r6(F.col("gross") - F.col("cost")).alias("net"))
 
 
 @query("stamp_duty_book", f"""WITH {TOP}, g AS (SELECT mi, avg(fret) AS gross FROM wts GROUP BY mi)
@@ -206,6 +206,20 @@ def _(spark, sf):
     return d.groupBy("mi").agg(F.count_if("held").alias("n_held"))
 
 
+@query("blended_book")
+def _(spark, sf):
+    """Quarterly inverse-vol tail targets on an EWM-smoothed signal, approached by half and renormalised each time."""
+    n = splits(spark, sf)
+    d = with_position(signal_vol(spark, sf), "code", "mi")
+    d = recursion.ewma(d, ["code"], "pos", [("sm", F.col("mom"), recursion.halflife_lambda(2.0))], adjust=True)
+    d = d.where(F.col("mi") % 3 == 0).withColumn("step", (F.col("mi") / 3).cast("long"))
+    tgt = book.tail_inverse_vol(d, "step", "sm", "vol", 0.2, 5, n).withColumn("w", F.col("w") / 2)
+    w = book.blended_book(tgt.select("code", "step", "w"), 0.5)
+    x = w.join(d.select("code", "step", "fret"), ["code", "step"], "left")
+    out = align.turnover(x, [], step="step", sums={"gross": F.abs(F.col("w")), "ret": F.col("w") * F.coalesce("fret", F.lit(0.0))})
+    return out.select("step", r6("gross").alias("gross"), r6("turnover").alias("turnover"), r6("ret").alias("ret"))
+
+
 @query("rank_weight_rotation", f"""WITH {q.MSIG}, f AS (SELECT *, {full('sum(ln(close / p1))', 'p1', 12)} AS trail FROM msig WINDOW k AS (PARTITION BY code ORDER BY mi)),
  m0 AS (SELECT min(mi) AS m0 FROM f WHERE trail IS NOT NULL),
  s AS (SELECT code, mi, count(*) OVER (PARTITION BY mi) - row_number() OVER (PARTITION BY mi ORDER BY trail, code) AS wc, row_number() OVER (PARTITION BY mi ORDER BY trail, code) AS wm FROM f, m0 WHERE trail IS NOT NULL AND (mi - m0.m0) % 12 = 0),
@@ -469,6 +483,15 @@ def _(spark, sf):
                  r6(metrics.cagr("ls_net", 12)).alias("cagr"), r6(F.min("d_simple")).alias("mdd"), r6(F.min("d_additive")).alias("mdd_additive"), r6(F.min("d_log")).alias("mdd_log"))
 
 
+@query("cagr_year_basis", f"""WITH {LS} SELECT {r('exp(sum(ln(1 + uni_ret)) * 12 / count(*)) - 1')} AS cagr_rows, {r("exp(sum(ln(1 + uni_ret)) * 365.25 / datediff('day', min(d), max(d))) - 1")} AS cagr_calendar
+ FROM (SELECT *, last_day(make_date(CAST(mi // 12 AS INT), CAST(mi % 12 + 1 AS INT), 1)) AS d FROM ls)""")
+def _(spark, sf):
+    from ..functions.columns import month_end
+
+    b = momentum_book(spark, sf).withColumn("d", month_end("mi"))
+    return b.agg(r6(metrics.cagr("uni_ret", 12)).alias("cagr_rows"), r6(metrics.cagr_calendar("uni_ret", "d")).alias("cagr_calendar"))
+
+
 @query("beta_alpha", f"""WITH {LS}, m AS (SELECT count(*) AS n, covar_samp(ls_net, uni_ret) / var_pop(uni_ret) AS beta_parity, regr_slope(ls_net, uni_ret) AS b, regr_intercept(ls_net, uni_ret) AS a,
    regr_syy(ls_net, uni_ret) AS syy, regr_sxx(ls_net, uni_ret) AS sxx, avg(uni_ret) AS mx FROM ls)
  SELECT {r('beta_parity')} AS beta_parity, {r('b')} AS beta, {r('a')} AS alpha, {r('a / sqrt((syy - b * b * sxx) / (n - 2) * (1.0 / n + mx * mx / sxx))')} AS alpha_t FROM m""")

@@ -72,6 +72,13 @@ def _(spark, sf):
     return d.select("code", F.col("pos").cast("long").alias("pos"), "h", r6("pit").alias("pit"))
 
 
+@query("forward_miscalibration", f"WITH {GQ}, p AS (SELECT code, pos, h, {pit_sql([f'({z!r}) * s' for z in Z])} AS pit FROM go) SELECT code, pos, {r('avg(2 * abs(pit - 0.5))')} AS miscal FROM p GROUP BY code, pos HAVING count(*) = 3")
+def _(spark, sf):
+    d = fo.score(ewma_origins(spark, sf).withColumn("q", fo.gaussian_quantiles("sigma", "h", LV)), LV)
+    d = d.groupBy("code", "pos").agg(F.avg(fo.tail_level("pit")).alias("m"), F.count(F.lit(1)).alias("n")).where("n = 3")
+    return d.select("code", F.col("pos").cast("long").alias("pos"), r6("m").alias("miscal"))
+
+
 _n = "ROWS BETWEEN 99 PRECEDING AND CURRENT ROW"
 EQ = GR + f""", eb AS (SELECT code, pos, date, quantile_cont(lret, [0.05, 0.25, 0.5, 0.75, 0.95]) OVER (PARTITION BY code ORDER BY pos {_n}) AS q, avg(lret) OVER (PARTITION BY code ORDER BY pos {_n}) AS m FROM gr QUALIFY count(*) OVER (PARTITION BY code ORDER BY pos {_n}) = 100)"""
 

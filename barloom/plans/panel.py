@@ -60,6 +60,12 @@ def _(spark, sf):
     return parse.parse_locale_prices(_raw_prices(spark, sf)).select("code", "date", r6("close", 4).alias("close"))
 
 
+@query("scan_dual_column", f"WITH {q.MONTHLY} SELECT code, month AS date, {r('close', 4)} AS close, {r('volume', 4)} AS volume FROM monthly WHERE mi % 7 <> 0")
+def _(spark, sf):
+    raw = _raw_prices(spark, sf).join(t.monthly_panel(spark, sf).select("code", F.col("mi").alias("row_id"), F.format_number("volume", 6).alias("Low")), ["code", "row_id"])
+    return parse.parse_locale_prices(raw, extra={"volume": "Low"}).select("code", "date", r6("close", 4).alias("close"), r6("volume", 4).alias("volume"))
+
+
 @query("scan_day_first", f"WITH {q.MONTHLY} SELECT code, code % 2 = 0 AS day_first FROM monthly GROUP BY code")
 def _(spark, sf):
     return parse.day_first_flags(_raw_prices(spark, sf), "code", "Date")

@@ -280,7 +280,7 @@ def _(spark, sf):
  SELECT {r('any_value(ob.c)')} AS observed, {r('avg(nl.c)')} AS null_mean, {r('stddev_pop(nl.c)')} AS null_sd, {r('(any_value(ob.c) - avg(nl.c)) / stddev_pop(nl.c)', 4)} AS z, {r('max(abs(nl.c))')} AS null_max FROM nl, ob""")
 def _(spark, sf):
     v = monthly_signals(spark, sf).where("mom IS NOT NULL AND fret IS NOT NULL").select("code", "mi", "mom", "fret")
-    perm = rs.permute_within(rs.with_replicas(v, 20), ["mi"], "code", "fret", 11, out="pf")
+    perm = rs.permute_within(rs.with_replicas(v, 20), ["mi"], "code", "fret", 11, out="pf", splits=splits(spark, sf))
     null = perm.groupBy("rep").agg(F.corr("mom", "pf").alias("c"))
     d = null.agg(F.avg("c").alias("m"), F.stddev_pop("c").alias("s"), F.max(F.abs("c")).alias("mx")).join(F.broadcast(v.agg(F.corr("mom", "fret").alias("o"))))
     return d.select(r6("o").alias("observed"), r6("m").alias("null_mean"), r6("s").alias("null_sd"), r6((F.col("o") - F.col("m")) / F.col("s"), 4).alias("z"), r6("mx").alias("null_max"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators import recursion as rec
+from ..session import shared_dir
 from ..sources import tables as t
 from ..streaming import bars, state
 from . import query
@@ -90,3 +91,17 @@ def _(spark, sf):
     src = _source(spark, sf).withColumn("x", F.col("price") / 1000)
     d = bars.run_to_table(state.keyed_state(src, "code", "ts", "x", state.regime_step(MEANS, VARS, TRANS, START)))
     return d.select("code", "ts", r6("prior").alias("prior"))
+
+
+BARTK = """WITH x AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS w_start, ts, value FROM events), b AS (SELECT code, w_start + INTERVAL '30 minutes' AS w_end, arg_max(value, ts) AS price FROM x GROUP BY code, w_start),
+ tk AS (SELECT code, w_end AS ts, price, row_number() OVER (PARTITION BY code ORDER BY w_end) - 1 AS pos FROM b WHERE """ + DONE + ")"
+
+
+@query("stream_bar_ewma_state", f"{BARTK}, e AS (SELECT code, ts, pos, {ewma_sql('price', 0.94)} AS v FROM tk) SELECT code, ts, {r('lag(v) OVER (PARTITION BY code ORDER BY pos)')} AS prior FROM e")
+def _(spark, sf):
+    """Bars first, then state: a hot code reaches the state as one row per bar."""
+    table = shared_dir(spark, "bars")
+    b = bars.run_to_table(bars.window_bars(_source(spark, sf), "30 minutes", "1 hour"), path=table)
+    src = spark.readStream.schema(b.schema).parquet(table).withColumnRenamed("end", "ts")
+    d = bars.run_to_table(state.keyed_state(src, "code", "ts", "close", state.ewma_step(0.94)))
+    return d.select("code", "ts", r6("prior").alias("prior"))
