@@ -73,15 +73,14 @@ def long_short_book(weights: DataFrame, universe: DataFrame, step: str, ret: str
 def tiered_cost(weights: DataFrame, spreads: DataFrame, book: list[str], step: str, spread: str = "spread_bps") -> DataFrame:
     """Sum of |dw| * spread/2 per step; names without a current spread pay the step's median."""
     moves = align.weight_changes(weights, [*book, "code"], step)
-    # a name sold at a step may be alone there, so the book's steps are the ones holding any weight
-    live = moves.groupBy(*book, step).agg(F.max("__here").alias("__live")).where("__live = 1").drop("__live")
-    dw = moves.drop("__here").join(live, [*book, step], "left_semi")
     med = spreads.groupBy(step).agg(F.percentile(spread, F.lit(0.5)).alias("med"))  # three distinct tiers per step
-    priced = dw.join(spreads.select(step, "code", spread), [step, "code"], "left").join(med, step)
+    priced = moves.join(spreads.select(step, "code", spread), [step, "code"], "left").join(med, step)
     px = F.coalesce(F.col(spread), F.col("med"))
-    return priced.groupBy(*book, step).agg(
-        F.sum(F.abs("dw") * px / 2 / 1e4).alias("cost"), F.sum(F.abs("dw")).alias("turnover"), F.sum(F.greatest("dw", F.lit(0.0))).alias("bought")
+    out = priced.groupBy(*book, step).agg(
+        F.sum(F.abs("dw") * px / 2 / 1e4).alias("cost"), F.sum(F.abs("dw")).alias("turnover"), F.sum(F.greatest("dw", F.lit(0.0))).alias("bought"),
+        F.max("__here").alias("__here"),
     )
+    return out.where("__here = 1").drop("__here")  # not the step after the last book
 
 
 def inverse_vol(df: DataFrame, by: list[str], vol: str, splits: int = 1, out: str = "w") -> DataFrame:

@@ -25,14 +25,16 @@ def with_position(df: DataFrame, keys, order, out: str = "pos") -> DataFrame:
     return df.withColumn(out, F.row_number().over(w) - 1)
 
 
-def with_calendar(df: DataFrame, date: str = "date", out: str = "cal") -> DataFrame:
-    """Position of each date on the union calendar of ``df``.
+def calendar(dates: DataFrame, date: str = "date", out: str = "cal") -> DataFrame:
+    """Union calendar: each distinct date and its 0-based position.
 
-    The calendar is one row per distinct date, so its global window sees at most a few tens of
-    thousands of rows; Spark broadcasts it only while it stays below its own size threshold.
+    One row per date, so the global window sees at most a few tens of thousands of rows.
     """
-    days = df.select(date).distinct()
-    days = days.withColumn(out, F.row_number().over(Window.orderBy(date)) - 1)
+    return dates.select(date).distinct().withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(date)) - 1)
+
+
+def with_calendar(df: DataFrame, days: DataFrame, date: str = "date") -> DataFrame:
+    """Attach calendar positions. Build ``days`` from the cheapest table that has the dates, not from a derived panel."""
     return df.join(days, date)
 
 

@@ -38,7 +38,8 @@ def block_bootstrap(spark: SparkSession, df: DataFrame, block: str, value: str,
     Rows are first reduced to (sum, n) per block; a replica then only touches the block table.
     """
     b = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    b = b.withColumns({"idx": F.row_number().over(Window.orderBy(block)) - 1, "k": F.count(F.lit(1)).over(Window.partitionBy())})
+    b = materialise(b)  # one row per block, read for the draws, the sums and the point estimate
+    b = b.withColumns({"idx": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(block)) - 1})
     size = b.agg(F.count(F.lit(1)).alias("k"))
     reps = spark.range(replicas).withColumnRenamed("id", "rep").join(F.broadcast(size))
     draws = reps.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))

@@ -9,6 +9,7 @@ from ..functions.columns import month_index, r6, year_of
 from ..operators import align, book, clean, metrics, recursion, rolling, xsec
 from ..operators.aggregate import with_grid
 from ..operators.clock import Clock, with_calendar, with_position
+from ..session import materialise
 from ..sources import tables as t
 from . import query
 from . import sqltext as q
@@ -64,9 +65,9 @@ def _timing(name, dense):
     @query(name, sql)
     def _(spark, sf):
         d = macd_panel(spark, sf).where("cret IS NOT NULL").select("code", "date", "cret", "macd_long")
-        d = with_calendar(d)
+        days = t.trading_days(spark, sf)
+        d = with_calendar(d, days)
         b = book.timing_book(d, "macd_long", "cret", "cal", 0.001, dense, splits(spark, sf))
-        days = d.groupBy("cal").agg(F.min("date").alias("date"))
         return b.join(days, "cal").select("date", "held", *[r6(c).alias(c) for c in ("strat", "bnh", "turnover")])
 
 
@@ -87,6 +88,7 @@ TOP = COMPOSITE + """, el AS (SELECT * FROM comp WHERE score IS NOT NULL AND fre
 
 def composite_weights(spark, sf, frac=0.2):
     el = composite_table(spark, sf).where("score IS NOT NULL AND fret IS NOT NULL").select("code", "mi", "score", "fret", "turnover", "mret")
+    el = materialise(el)  # one row per (name, month), read by weights, spreads and returns
     w = book.quintile_weights(el, "mi", "score", frac, 1, "code", splits(spark, sf)).where("leg = 1")
     return w, el
 
@@ -362,7 +364,7 @@ QUAL = q.BOOKRET + f""", qs AS (SELECT code, date, cret, coalesce({full('avg(lre
 def qualified(spark, sf):
     d = book_returns(spark, sf)
     d = d.withColumn("qual", F.coalesce(Clock("code", "pos").full(F.avg, "lret", 20) > 0.02, F.lit(False)))
-    return with_calendar(d.select("code", "date", "cret", "qual"))
+    return with_calendar(d.select("code", "date", "cret", "qual"), t.trading_days(spark, sf))
 
 
 @query("membership_book", f"""WITH {QUAL}, g AS (SELECT cal, sum(h)::BIGINT AS n_held, sum(h * coalesce(cret, 0)) / nullif(sum(h), 0) AS gross FROM mh GROUP BY cal)

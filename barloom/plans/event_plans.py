@@ -183,7 +183,15 @@ def _(spark, sf):
     return d.select("code", F.col("signal_pos").cast("long").alias("signal_pos"), F.col("exit_pos").cast("long").alias("exit_pos"), "direction", "entry_date", "exit_date", F.col("days").cast("long").alias("days"), *[r6(c).alias(c) for c in ("entry", "exit", "gross")])
 
 
-@query("zfade_fixed_hold")
+ZFH = q.RETS + f""", zs AS (SELECT *, (close - {full('avg(close)', 'close', 20)}) / {full('stddev_samp(close)', 'close', 20)} AS z, max(pos) OVER (PARTITION BY code) AS lastp,
+   lead(open) OVER k AS e_px, {full('stddev_samp(lret)', 'lret', 20, 1)} / {full('stddev_samp(lret)', 'lret', 100, 1)} AS vs FROM rets WINDOW k AS (PARTITION BY code ORDER BY pos)),
+ cand AS (SELECT hold, code, pos AS i, z, e_px, least(pos + 1 + hold, lastp) AS x FROM zs, (SELECT unnest([3, 8]) AS hold) WHERE abs(z) >= 2 AND vs < 1.0 AND pos >= 100 AND pos < lastp),
+ nx AS (SELECT c.*, n.i AS nxt, row_number() OVER (PARTITION BY c.hold, c.code ORDER BY c.i) AS rn FROM cand c ASOF LEFT JOIN cand n ON c.hold = n.hold AND c.code = n.code AND c.x < n.i),
+ ch AS (SELECT hold, code, i, x, z, e_px, nxt FROM nx WHERE rn = 1 UNION ALL SELECT nx.hold, nx.code, nx.i, nx.x, nx.z, nx.e_px, nx.nxt FROM ch JOIN nx ON nx.hold = ch.hold AND nx.code = ch.code AND nx.i = ch.nxt)"""
+
+
+@query("zfade_fixed_hold", f"""WITH RECURSIVE {ZFH} SELECT hold, ch.code, i AS signal_pos, x AS exit_pos, CASE WHEN ch.z <= -2 THEN 'LONG' ELSE 'SHORT' END AS direction,
+  {r("CASE WHEN ch.z <= -2 THEN b.close / ch.e_px - 1 ELSE 1 - b.close / ch.e_px END")} AS gross FROM ch JOIN zs b ON b.code = ch.code AND b.pos = ch.x""")
 def _(spark, sf):
     """Fixed-hold variant gated on compressed volatility, over a hold grid as key."""
     d = t.daily_returns(spark, sf).withColumns({"z": rolling.zscore(BAR, "close", 20), "vs": rolling.vol_state(BAR, "lret")})
@@ -191,7 +199,7 @@ def _(spark, sf):
     for hold in (3, 8):
         one = events.zscore_fades(d, "z", ["code"], max_hold=hold, fixed_hold=True, gate=F.col("vs") < 1.0).withColumn("hold", F.lit(hold))
         out = one if out is None else out.unionByName(one)
-    return out.select("hold", "code", "signal_pos", "exit_pos", "direction", r6("gross").alias("gross"))
+    return out.select("hold", "code", F.col("signal_pos").cast("long").alias("signal_pos"), F.col("exit_pos").cast("long").alias("exit_pos"), "direction", r6("gross").alias("gross"))
 
 
 @query("benchmark_over_hold", f"""WITH RECURSIVE {ZF}, mk AS (SELECT date, sum(ln(1 + m)) OVER (ORDER BY date) AS lx FROM (SELECT date, avg(exp(greatest(least(lret, 0.6), -0.6)) - 1) AS m FROM rets WHERE lret IS NOT NULL GROUP BY date))
@@ -248,10 +256,10 @@ def _(spark, sf):
     return d.select("code", F.col("signal_pos").cast("long").alias("signal_pos"), F.col("exit_pos").cast("long").alias("exit_pos"), "entry_date", "exit_date", r6("entry").alias("entry"), r6("exit").alias("exit"))
 
 
-@query("channel_ride")
+@query("channel_ride", f"WITH RECURSIVE {CHT.replace('(ann < 0 OR close >= up - 0.25 * (up - lo))', '(close < lo)')} SELECT code, i AS signal_pos, xp AS exit_pos, {r('e_px')} AS entry, {r('x_px')} AS exit FROM ctt")
 def _(spark, sf):
     d = events.channel_trades(channel_panel(spark, sf), ["code"], exit_rule="break", break_frac=0.0)
-    return d.select("code", "signal_pos", "exit_pos", r6("entry").alias("entry"), r6("exit").alias("exit"), r6("grad", 4).alias("grad"))
+    return d.select("code", F.col("signal_pos").cast("long").alias("signal_pos"), F.col("exit_pos").cast("long").alias("exit_pos"), r6("entry").alias("entry"), r6("exit").alias("exit"))
 
 
 def channel_atr(spark, sf):

@@ -48,7 +48,7 @@ CAL = q.DAILY + """, cald AS (SELECT code, date, close, cal FROM daily JOIN (
 CALC = Clock("code", "cal")
 feature("roll_minobs_mean", {"mean252": full("avg(close)", "close", 252, 1, 40), "gap_mean3": full("avg(close)", "close", 3),
                              "prev_day": f"max(close) OVER (k {q.frame(-1, -1)})"},
-        lambda spark, sf: with_calendar(t.daily_panel(spark, sf).select("code", "date", "close")).withColumns(
+        lambda spark, sf: with_calendar(t.daily_panel(spark, sf).select("code", "date", "close"), t.trading_days(spark, sf)).withColumns(
             {"mean252": CALC.full(F.avg, "close", 252, 1, 40), "gap_mean3": CALC.full(F.avg, "close", 3), "prev_day": CALC.at("close", -1)}),
         CAL, "cald", pos="cal")
 

@@ -373,7 +373,7 @@ def _(spark, sf):
   s AS (SELECT code, min(c) AS lo, max(c) AS hi, count(*) AS listed FROM daily JOIN cal USING (date) GROUP BY code)
  SELECT code, hi - lo + 1 AS cells, listed, hi - lo + 1 - listed AS gaps FROM s""")
 def _(spark, sf):
-    d = with_calendar(t.daily_panel(spark, sf)).select("code", "cal", "close")
+    d = with_calendar(t.daily_panel(spark, sf), t.trading_days(spark, sf)).select("code", "cal", "close")
     dense = align.densify(d, "code", "cal")
     out = dense.groupBy("code").agg(F.count(F.lit(1)).alias("cells"), F.count("close").alias("listed"))
     return out.withColumn("gaps", F.col("cells") - F.col("listed"))
@@ -420,7 +420,7 @@ def _(spark, sf):
   x AS (SELECT code, c, CASE WHEN volume >= 20 THEN close END AS v FROM daily JOIN cal USING (date))
  SELECT code, c AS cal, {r('last_value(v IGNORE NULLS) OVER (PARTITION BY code ORDER BY c RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)')} AS filled FROM x""")
 def _(spark, sf):
-    d = with_calendar(t.daily_panel(spark, sf)).withColumn("v", F.when(F.col("volume") >= 20, F.col("close")))
+    d = with_calendar(t.daily_panel(spark, sf), t.trading_days(spark, sf)).withColumn("v", F.when(F.col("volume") >= 20, F.col("close")))
     return d.select("code", F.col("cal").cast("long").alias("cal"), r6(align.forward_fill("v", "code", "cal", 5)).alias("filled"))
 
 

@@ -66,11 +66,11 @@ WILDER = q.RETS + f""", trs AS (SELECT *, greatest(high - low, abs(high - prev),
  wa AS (SELECT code, date, pos, {ewma_sql('x', _lw, pos='(pos - 13)')} AS atr FROM sw WHERE pos >= 13)"""
 
 
-@query("wilder_atr", f"WITH {WILDER} SELECT code, date, {r('atr')} AS atr FROM wa")
+@query("wilder_atr", f"WITH {WILDER} SELECT code, date, {r('atr', 3)} AS atr FROM wa")
 def _(spark, sf):
     d = t.daily_returns(spark, sf).withColumn("tr", ro.true_range(BAR))
     d = rec.wilder_atr(d, "code", "pos", "tr", 14).where("atr IS NOT NULL")
-    return d.select("code", "date", r6("atr").alias("atr"))
+    return d.select("code", "date", r6("atr", 3).alias("atr"))
 
 
 _f, _s, _g = rec.span_lambda(12), rec.span_lambda(26), rec.span_lambda(9)
@@ -213,10 +213,22 @@ def _(spark, sf):
     return experts(spark, sf).select("code", "block", *[r6(x).alias(x) for x in XS])
 
 
-@query("expert_mixture")
+def _mix_step(p: str) -> str:
+    """SQL of one mixture step: prediction and the next weights from the previous ones."""
+    e = "list_transform(x, lambda v: power(v - rv, 2))"
+    u = f"list_transform(range(1, 6), lambda j: ({p})[j] * exp(-5.0 * ({e})[j] / (list_avg({e}) + 1e-18)))"
+    return f"list_dot_product({p}, x) AS pred, list_transform({u}, lambda v: v / list_sum({u})) AS p"
+
+
+MIX = EXPERTS + f""", ms AS (SELECT code, block, rv, [{', '.join(XS)}] AS x, row_number() OVER (PARTITION BY code ORDER BY block) - 1 AS i FROM ex WHERE {' AND '.join(f'{x} IS NOT NULL' for x in XS)}),
+ mh AS (SELECT code, block, i, {_mix_step('[0.2, 0.2, 0.2, 0.2, 0.2]::DOUBLE[]')} FROM ms WHERE i = 0 UNION ALL
+  SELECT code, block, i, {_mix_step('q')} FROM (SELECT ms.*, mh.p AS q FROM mh JOIN ms ON ms.code = mh.code AND ms.i = mh.i + 1))"""
+
+
+@query("expert_mixture", f"WITH RECURSIVE {MIX} SELECT code, block, {r('pred')} AS mix_pred, {', '.join(f'{r(f'p[{i + 1}]')} AS w_{x[2:]}' for i, x in enumerate(XS))} FROM ex LEFT JOIN mh USING (code, block)")
 def _(spark, sf):
     d = rec.hedge_mixture(experts(spark, sf), "code", "block", XS, "rv", eta=5.0)
-    return d.select("code", "block", r6("mix_pred").alias("mix_pred"), "mix_weights")
+    return d.select("code", "block", r6("mix_pred").alias("mix_pred"), *[r6(F.col("mix_weights")[i]).alias(f"w_{x[2:]}") for i, x in enumerate(XS)])
 
 
 @query("expert_mixture_adaptive")

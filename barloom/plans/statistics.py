@@ -16,7 +16,7 @@ from . import sqltext as q
 from .cross_section import AVG_RANK, splits
 from .event_plans import ORB, orb
 from .panel import market, monthly_signals
-from .recursions import GR, gapless_returns
+from .recursions import GR, ewma_sql, gapless_returns
 from .sqltext import full, r
 
 BAR = Clock("code", "pos")
@@ -204,7 +204,12 @@ def _(spark, sf):
     return stats.lag_autocorrelation(d, ["code"], "pos", "a", [1, 5]).select("code", r6("ac_1").alias("ac_1"), r6("ac_5").alias("ac_5"))
 
 
-@query("residual_autocorrelation")
+_l20 = 2.0 ** (-1 / 20.0)
+
+
+@query("residual_autocorrelation", f"""WITH {GR}, d AS (SELECT code, pos, lret - avg(lret) OVER (PARTITION BY code) AS d FROM gr), v AS (SELECT code, pos, abs(d / sqrt({ewma_sql('d * d', _l20)})) AS a FROM d),
+ z AS (SELECT code, pos, a - avg(a) OVER (PARTITION BY code) AS z FROM v), l AS (SELECT code, z, lag(z) OVER k AS l1, lag(z, 5) OVER k AS l5 FROM z WINDOW k AS (PARTITION BY code ORDER BY pos))
+ SELECT code, {r('sum(z * l1) / (sum(z * z) + 1e-12)')} AS ac_1, {r('sum(z * l5) / (sum(z * z) + 1e-12)')} AS ac_5 FROM l GROUP BY code""")
 def _(spark, sf):
     """Autocorrelation of absolute volatility-standardised residuals: what clustering the filter leaves."""
     from ..operators.recursion import ewma, halflife_lambda

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_end, month_index
-from ..operators.clock import Clock, with_position
+from ..operators.clock import Clock, calendar, with_position
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar of all print dates: a one-column scan."""
+    return calendar(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")))
+
+
 def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily panel on each instrument's own bar clock with log and simple returns."""
     df = with_position(daily_panel(spark, sf_dir), "code", "date")
