@@ -54,7 +54,7 @@ feature("roll_minobs_mean", {"mean252": full("avg(close)", "close", 252, 1, 40),
 
 feature("roll_quantile", {"q70": "CASE WHEN count(vol) OVER (k RANGE BETWEEN 251 PRECEDING AND CURRENT ROW) >= 20 THEN quantile_cont(vol, 0.7) OVER (k RANGE BETWEEN 251 PRECEDING AND CURRENT ROW) END", "vol": "vol"},
         lambda spark, sf: t.daily_returns(spark, sf).withColumn("vol", BAR.full(F.stddev_samp, "lret", 20)).withColumn(
-            "q70", BAR.full(lambda x: F.percentile(x, F.lit(0.7)), "vol", 252, 0, 20)),
+            "q70", ro.rolling_quantile(BAR, "vol", 252, [0.7], 0, 20)[0]),
         q.RETS + f", v AS (SELECT *, {full('stddev_samp(lret)', 'lret', 20)} AS vol FROM rets WINDOW k AS (PARTITION BY code ORDER BY pos))", "v")
 
 feature("expanding_median", {"mean": f"avg(lret) OVER (k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "med": "median(close) OVER (k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"},

@@ -164,8 +164,11 @@ def _(spark, sf):
 
 def stack_coefficients(spark, sf):
     """Pooled least squares of the squared return on the expert variances: one tiny row."""
-    d = fo.expert_variances(gapless_returns(spark, sf).select("code", "pos", "lret"), "code", "pos", "lret").where("pos >= 60")
-    d = d.withColumn("r2", F.col("lret") * F.col("lret"))
+    return _pooled_fit(fo.expert_variances(gapless_returns(spark, sf).select("code", "pos", "lret"), "code", "pos", "lret"))
+
+
+def _pooled_fit(ex):
+    d = ex.where("pos >= 60").withColumn("r2", F.col("lret") * F.col("lret"))
     return stats.fit_ols(d, VX, "r2")
 
 
@@ -180,11 +183,17 @@ def _origin_windows(spark, sf, n=120, stride=40):
     return d.where((F.col("pos") >= n - 1) & ((F.col("pos") - (n - 1)) % stride == 0))
 
 
+def _outcomes(d, first, stride, horizons):
+    """Realised paths of the origin rows only; the filter sits below the explode."""
+    y = fo.realised_paths(d, BAR, "lret", horizons).select("code", "pos", "h", "y")
+    return y.where((F.col("pos") >= first) & ((F.col("pos") - first) % stride == 0))
+
+
 @query("bootstrap_quantiles")
 def _(spark, sf):
     """Scores of the simulated forecasters on strided origins, one row per (model, horizon)."""
     d = gapless_returns(spark, sf).select("code", "pos", "lret")
-    y = fo.realised_paths(d, BAR, "lret", [1, 2, 3, 4, 5]).select("code", "pos", "h", "y")
+    y = _outcomes(d, 119, 40, [1, 2, 3, 4, 5])
     g = fo.simulate_origins(_origin_windows(spark, sf).repartition("code"), "code", "pos", "win", 5, LV, list(fo.FORECASTERS), 300)
     s = fo.summarise(fo.score(g.join(y, ["code", "pos", "h"]), LV), ["model", "h"])
     return s.select("model", "h", "n", *[r6(c).alias(c) for c in ("crps", "cov_50", "cov_90")])
@@ -194,10 +203,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Walk-forward scores of the filtered simulations (EWMA, leverage EWMA, expert stack)."""
     base = gapless_returns(spark, sf).select("code", "pos", "lret")
-    y = fo.realised_paths(base, BAR, "lret", [1, 2, 3, 4, 5]).select("code", "pos", "h", "y")
+    y = materialise(_outcomes(base, 149, 60, [1, 2, 3, 4, 5]))
     out = None
-    coef = [float(v) for v in stack_coefficients(spark, sf).head()["coef"]]  # six numbers
-    ex = fo.expert_variances(base, "code", "pos", "lret")
+    ex = materialise(fo.expert_variances(base, "code", "pos", "lret"))  # read by the pooled fit and the simulation
+    coef = [float(v) for v in _pooled_fit(ex).head()["coef"]]  # six numbers
     grids = {
         "ewma": fo.filtered_simulation(rec.ewma_variance(base, "code", "pos", "lret", 0.94, 60, out="v"), "code", "pos", "lret", "v", 5, LV, 60, 150, sims=300),
         "gjr": fo.filtered_simulation(rec.ewma_variance(base, "code", "pos", "lret", 0.94, 60, 0.5, out="v"), "code", "pos", "lret", "v", 5, LV, 60, 150, gamma=0.5, sims=300),

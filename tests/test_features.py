@@ -35,7 +35,7 @@ def to_spark(spark, pdf):
 
 FEATURES = {
     "roll": lambda d: d.withColumn("y", BAR.full(F.stddev_samp, "lret", 20)),
-    "quantile": lambda d: d.withColumn("y", BAR.full(lambda x: F.percentile(x, F.lit(0.7)), "lret", 60, 0, 20)),
+    "quantile": lambda d: d.withColumn("y", ro.rolling_quantile(BAR, "lret", 60, [0.7], 0, 20)[0]),
     "mom": lambda d: d.withColumn("y", ro.momentum(BAR, "close", 12, 1)),
     "vol_state": lambda d: d.withColumn("y", ro.vol_state(BAR, "lret")),
     "z": lambda d: d.withColumn("y", ro.zscore(BAR, "close", 20)),
