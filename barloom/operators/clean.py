@@ -39,7 +39,7 @@ def series_quality(df: DataFrame, key: str = "code", ret: str = "lret") -> DataF
 def quality_gate(df: DataFrame, min_obs: int, max_abs_ret: float, key: str = "code", ret: str = "lret") -> DataFrame:
     """Rows of series that are long enough and free of glitches.
 
-    Uses the whole history of each series (the reference universe rule looks ahead by design).
+    Uses the whole history of each series, so it looks ahead by design; see the causal form below.
     """
     good = series_quality(df, key, ret).where((F.col("n_obs") >= min_obs) & (F.col("max_abs_ret") <= max_abs_ret))
     return df.join(good.select(key), key, "left_semi")
