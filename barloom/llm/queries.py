@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, token_store
 from .jaccard import jaccard_components
+from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +49,22 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other
 @query("op1_ngram_jaccard", _SHINGLES)
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_token_store")
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = token_store.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), Scratch(spark, "tokens").path("ids"), end_id=1)
+    return token_store.read_digests(files)
+
+
+@query("op8_bpe_automaton")
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
