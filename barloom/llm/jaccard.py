@@ -6,9 +6,10 @@ those. The order puts shingles last that very many documents hold; which ones th
 A tile is what shares a shingle; a large one is cut into blocks by size band and hash, and only pairs of blocks
 in equal or neighbouring bands meet, each in a task group of bounded size. Inside, sizes, then bit counts
 (a bit that only one side has proves an element that only this side has) bound the overlap from above, and the
-pairs left are verified on the sorted sets. Before that every node is verified against the first node of its
-min-hash groups; nodes linked to the same first node are connected already, and tiles skip pairs of them, so
-that a large group of near copies costs a star and not all pairs.
+pairs left are verified on the sorted sets. Pairs already connected are skipped, so that a large group of near
+copies costs a few pairs for each member and not all of them: first every node is verified against the one
+partner in each of its tiles that the bit counts favour most, and only then do tiles give every pair of
+different components that the bounds allow.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .textarrays import U64, mix, shingle_set, slices, stream, word_hashes
+from .textarrays import U64, mix, shingle_set, slices, word_hashes
 
 #: Rows of a tile block; a task holds two blocks of a tile at a time.
-BLOCK = 2048
+BLOCK = 1024
 #: Shingles that an order can put last (8 bytes each are broadcast), and the documents that make one of them.
 HOT_KEPT, HOT_FROM = 1 << 18, 64
-#: Min-hash groups whose first node every node is verified against.
-STARS = 4
+#: Tiles with the same first node mostly hold the same group; they are dealt to so many tasks, where a pair counts once.
+SPREAD = 4
+#: Pairs that a task remembers as already emitted.
+REMEMBERED = 1 << 19
 #: Bytes of the bit set by which a scan skips documents that no pair names.
 SEEN_BYTES = 1 << 22
 
@@ -59,25 +62,23 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-_SETS = "doc_id long, n int, lo long, hi long, bits binary, mins array<long>, shingle long, held long"
+_SETS = "doc_id long, n int, lo long, hi long, bits binary, shingle long, held long"
 
 
 def _summaries(width: int):
-    """Per document its size, identity, bitmap and min-hashes; per batch the shingles that several texts hold."""
+    """Per document its size, identity and bitmap; per batch the shingles that several texts hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = stream(5, STARS)
         for batch in batches:
             ids = batch.column(0)
             for s in slices(batch.column(1)):
                 h, o = word_hashes(s, lower=True)
-                n, lo, hi, bits, mins, low = [], [], [], [], [], []
+                n, lo, hi, bits, low = [], [], [], [], []
                 for i in range(len(s.texts)):
                     e = shingle_set(h[o[i] : o[i + 1]], width)
                     a, b = identity(e)
                     n.append(len(e)), lo.append(a), hi.append(b)
                     bits.append(bitmap(e) if len(e) else None)
-                    mins.append([int(mix(e ^ x).min().view(np.int64)) for x in seeds] if len(e) else None)
                     low.append(e[: max(1, len(e) // 2)])
                 k, c = np.unique(np.concatenate(low), return_counts=True)
                 k, c = k[c >= 4].view(np.int64), c[c >= 4]
@@ -90,18 +91,20 @@ def _summaries(width: int):
                         pa.concat_arrays([pa.array(lo, pa.int64()), none(hot, pa.int64())]),
                         pa.concat_arrays([pa.array(hi, pa.int64()), none(hot, pa.int64())]),
                         pa.concat_arrays([pa.array(bits, pa.binary()), none(hot, pa.binary())]),
-                        pa.concat_arrays([pa.array(mins, pa.list_(pa.int64())), none(hot, pa.list_(pa.int64()))]),
                         pa.concat_arrays([none(docs, pa.int64()), pa.array(k)]),
                         pa.concat_arrays([none(docs, pa.int64()), pa.array(c, pa.int64())]),
                     ],
-                    names=["doc_id", "n", "lo", "hi", "bits", "mins", "shingle", "held"],
+                    names=["doc_id", "n", "lo", "hi", "bits", "shingle", "held"],
                 )
 
     return run
 
 
 def _prefixes(width: int, percent: int, hot):
-    """(shingle, lo) for the shingles of each distinct set of a batch that a link must share one of.
+    """(shingle, pos, lo) for the shingles of each distinct set of a batch that a link must share one of.
+
+    pos is the place in the order. Two linked sets have a first shared shingle, and behind its places there is room
+    for the whole overlap that they need; tiles skip pairs for which there is none.
 
     lo is half of the identity: two sets that share it only give more pairs to verify.
     """
@@ -126,7 +129,7 @@ def _prefixes(width: int, percent: int, hot):
                     keys.append(e[:p]), nodes.append(node), counts.append(p)
                 if keys:
                     owner = np.repeat(np.array([x[0] for x in nodes], np.int64), counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["shingle", "lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts])), pa.array(owner)], names=["shingle", "pos", "lo"])
 
     return run
 
@@ -167,48 +170,64 @@ class Bitmaps:
         return self.half[at + np.arange(2 * to)]
 
 
-def possible(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether bit counts allow a link: they bound the overlap from above."""
-    most = np.minimum(n_a - only_a, n_b - only_b)
-    return 100 * most >= percent * (n_a + n_b - most)
+def most_shared(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
+    """The largest overlap that bit counts allow: a bit of one side alone is an element of one side alone."""
+    return np.minimum(n_a - only_a, n_b - only_b)
 
 
 _PAIR = "a long, b long"
 
 
-def _tiles(percent: int):
-    """Pairs of nodes within each tile block that sizes, labels and bit counts allow.
+def _tiles(percent: int, best: bool):
+    """Pairs of nodes within each tile block that sizes, positions, labels and bit counts allow.
 
     Rows come sorted by (tile, size). Row i meets i + 1, i + 2, ... for all rows at once, as long as the tile is
     the same and the larger size is in reach, so the work is the number of such pairs and none is emitted before
-    its bit counts are seen.
+    its bit counts are seen. ``best``: only the partner of each row that the bound on the overlap favours most.
     """
 
-    def of(t: pa.Table) -> pa.RecordBatch:
+    def of(t: pa.Table, seen: set[tuple[int, int]]) -> pa.RecordBatch:
         tile = np.stack([t.column(c).to_numpy() for c in ("shingle", "block")])
-        node, label, n, side = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "n", "side"))
+        node, label, n, side, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "n", "side", "pos"))
         edge = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1
         last = np.repeat(np.append(edge, len(node)), np.diff(np.concatenate([[0], edge, [len(node)]])))
         maps = Bitmaps(t.column("bits").combine_chunks())
-        a_out, b_out = [], []
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        partner, favour = np.full(len(node), -1), np.zeros(len(node))
         left, d = np.arange(len(node)), 1
         while len(left):
             left = left[left + d < last[left]]
             left = left[100 * n[left] >= percent * n[left + d]]
             other = left + d
+            need = -(-percent * (n[left] + n[other]) // (100 + percent))
             new = (label[left] != label[other]) & (node[left] != node[other]) & ((side[left] == 0) | (side[left] != side[other]))
+            new &= (n[left] - pos[left] >= need) & (n[other] - pos[other] >= need)
             a, b = left[new], other[new]
             if len(a):
-                fits = possible(n[a], n[b], *maps.only(a, b), percent)
-                a_out.append(node[a[fits]]), b_out.append(node[b[fits]])
+                most = most_shared(n[a], n[b], *maps.only(a, b))
+                fits = 100 * most >= percent * (n[a] + n[b] - most)
+                a, b, likely = a[fits], b[fits], (most / (n[a] + n[b] - most))[fits]
+                if best:  # within one step a row is at most once on either side
+                    for x, y in ((a, b), (b, a)):
+                        up = likely > favour[x]
+                        favour[x[up]], partner[x[up]] = likely[up], y[up]
+                else:
+                    a_out.append(node[a]), b_out.append(node[b])
             d += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        if best:
+            a = np.flatnonzero(partner >= 0)
+            a_out, b_out = [node[a]], [node[partner[a]]]
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
+        pairs = {*zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)} - seen
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        seen |= pairs
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
@@ -220,10 +239,10 @@ def _tiles(percent: int):
             whole = np.flatnonzero((s[1:] != s[:-1]) | (k[1:] != k[:-1]))
             if len(whole):
                 cut = int(whole[-1]) + 1
-                yield of(t.slice(0, cut))
+                yield of(t.slice(0, cut), seen)
                 held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
         if held:
-            yield of(pa.Table.from_batches(held))
+            yield of(pa.Table.from_batches(held), seen)
 
     return run
 
@@ -305,15 +324,7 @@ class JaccardJoin:
         with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
         return with_y.mapInArrow(_intersect(self.percent), _PAIR)
 
-    def _stars(self, nodes: DataFrame) -> DataFrame:
-        """Pairs of each node and the first node of its min-hash groups that sizes allow."""
-        keyed = nodes.select("node", "n", "bits", F.posexplode("mins").alias("f", "m"))
-        first = keyed.groupBy("f", "m").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last").drop("last")
-        pairs = keyed.select("f", "m", "node", "n").join(first, ["f", "m"]).where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"), "n").distinct()
-        small = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-        return pairs.join(small, "a").where(f"100 * least(n, n_a) >= {self.percent} * greatest(n, n_a)").select("a", "b")
-
-    def _blocks(self, rows: DataFrame) -> DataFrame:
+    def _blocks(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows (shingle, node, ...) dealt to tile blocks.
 
         A tile of up to BLOCK rows is one block. A larger one is cut by size band and then by node; each row then
@@ -322,7 +333,7 @@ class JaccardJoin:
         base = math.log(100 / self.percent) * 1.001
         band: Column = F.floor(F.log(F.col("n").cast("double")) / F.lit(base)).cast("int")
         counts = rows.groupBy("shingle", band.alias("band")).agg(F.count(F.lit(1)).alias("k"))
-        counts = self.scratch.keep(counts.join(counts.groupBy("shingle").agg(F.sum("k").alias("total")), "shingle").where(F.col("total") > BLOCK), "large")
+        counts = self.scratch.keep(counts.join(counts.groupBy("shingle").agg(F.sum("k").alias("total")), "shingle").where(F.col("total") > BLOCK), f"large-{name}")
         w = Window.partitionBy("shingle").orderBy("band")
         cuts = F.ceil(F.col("k") / BLOCK).cast("int")
         near = lambda f, step: F.when(f("band").over(w) == F.col("band") + step, f("cuts").over(w))
@@ -334,34 +345,38 @@ class JaccardJoin:
         down = F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.struct(F.xxhash64(F.lit(1), F.col("band") - 1, j, own).alias("block"), F.lit(2).alias("side")))
         empty = F.array().cast("array<struct<block:bigint,side:int>>")
         all_blocks = F.when(F.col("cuts").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).alias("side")))).otherwise(F.concat(same, F.coalesce(up, empty), F.coalesce(down, empty)))
-        return rows.withColumn("at", F.explode(all_blocks)).select("shingle", F.col("at.block").alias("block"), F.col("at.side").alias("side"), "node", "label", "n", "bits")
+        return rows.withColumn("at", F.explode(all_blocks)).select("shingle", F.col("at.block").alias("block"), F.col("at.side").alias("side"), "deal", "pos", "node", "label", "n")
+
+    def _tile_pairs(self, rows: DataFrame, nodes: DataFrame, label: DataFrame, best: bool) -> DataFrame:
+        """Pairs (a < b) that tiles give between nodes of different labels (a node without one is its own)."""
+        rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("first")).where("x != y")
+        several = several.select("shingle", F.xxhash64("first", F.pmod("shingle", F.lit(SPREAD))).alias("deal"))
+        rows = self._blocks(rows.join(several, "shingle"), "best" if best else "all").join(nodes.select("node", "bits"), "node")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        tiles = rows.repartition(parts, "deal", "block").sortWithinPartitions("deal", "block", "shingle", "n", "node")
+        return tiles.mapInArrow(_tiles(self.percent, best), _PAIR).distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(documents, roots): rows (doc_id, n, lo, hi) of all documents, and (lo, hi, component_id) of linked nodes."""
         keep = self.scratch.keep
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         summaries = keep(self.docs.mapInArrow(_summaries(self.width), _SETS), "summaries")
         documents = summaries.where("n is not null").select("doc_id", "n", "lo", "hi")
-        nodes = summaries.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("mins").alias("mins"))
+        nodes = summaries.where("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         nodes = keep(nodes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "nodes")
-        starred = keep(self._verified(keep(self._stars(nodes), "stars"), nodes, "stars"), "starred")
-        label = starred.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-        hop = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        label = label.join(hop, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        labelled = keep(nodes.select("lo", "hi", "node", "n", "bits").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
         hot = self.spark.sparkContext.broadcast(self._hot(summaries))
-        rows = self.docs.select("text").mapInArrow(_prefixes(self.width, self.percent, hot), "shingle long, lo long")
-        rows = keep(rows, "prefixes")
+        rows = keep(self.docs.select("text").mapInArrow(_prefixes(self.width, self.percent, hot), "shingle long, pos int, lo long"), "prefixes")
         shared = rows.groupBy("shingle").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x != y").select("shingle")
         rows = rows.join(shared, "shingle", "left_semi").distinct()
-        rows = keep(rows.join(labelled.select("lo", "node", "label", "n"), "lo").select("shingle", "node", "label", "n"), "rows")
+        rows = keep(rows.join(nodes.select("lo", "node", "n"), "lo").select("shingle", "pos", "node", "n"), "rows")
         self.scratch.drop("prefixes")
-        several = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
-        rows = rows.join(several, "shingle", "left_semi").join(labelled.select("node", "bits"), "node")
-        tiles = self._blocks(rows).repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block", "n", "node")
-        pairs = keep(tiles.mapInArrow(_tiles(self.percent), _PAIR).distinct(), "pairs")
-        linked = self._verified(pairs, nodes, "tiles").unionByName(starred)
-        root = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), self.scratch)
+        alone = nodes.select("node", F.col("node").alias("label")).limit(0)
+        first = keep(self._tile_pairs(rows, nodes, alone, best=True), "best")
+        edges = keep(self._verified(first, nodes, "best"), "edges")
+        label = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), self.scratch, "some").withColumnRenamed("root", "label")
+        pairs = keep(self._tile_pairs(rows, nodes, label, best=False).join(first, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.unionByName(self._verified(pairs, nodes, "pairs"))
+        root = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), self.scratch)
         low = root.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
         member = nodes.select("node", "lo", "hi", "rep").join(root, "node", "left").join(low, "root", "left")
         return documents, member.select("lo", "hi", F.coalesce("component_id", "rep").alias("component_id"))

@@ -3,7 +3,7 @@
 The score is a logistic regression on hashed word and character n-grams. Its weights are fitted on a sample of the
 labelled rows of at most ``max_rows`` rows of each label (those with the smallest hash of doc_id), in one task, by
 mini-batch gradient steps; a slope and an intercept then calibrate its margin to a probability on the fourth of
-the sample that the steps did not use. Scoring is one pass of Arrow batches: a text's margin is the mean weight
+the sample that the steps did not use, shifted by the shares of the labels in all labelled rows. Scoring is one pass of Arrow batches: a text's margin is the mean weight
 of its word n-grams plus the mean weight of its character n-grams, so it does not grow with the text.
 """
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .samples import calibrate, labelled_sample, shift
 from .textarrays import CHECKS, SEPARATOR, U64, WORDS, Slice, mix, shingle_hashes, slices, stream, word_hashes
 
 #: Fixed limits of the counted statistics.
@@ -155,35 +156,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 20, rate: float
     return np.concatenate([flat, [slope, intercept]]).astype(np.float32)
 
 
-def calibrate(margins: np.ndarray, labels: np.ndarray, bias: float = 0.0) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit of labels on margins by Newton steps, with a weak pull to (1, bias)."""
-    at = np.array([1.0, bias])
-    x = np.stack([margins, np.ones(len(margins))], axis=1)
-    pull = np.diag([1e-2, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        g = x.T @ (labels - p) - pull @ (at - [1.0, bias])
-        h = (x * (p * (1 - p))[:, None]).T @ x + pull
-        step = np.linalg.solve(h, g)
-        at = at + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(at[0]), float(at[1])
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int = 8000) -> np.ndarray:
     """Weights from the rows of ``docs`` (doc_id, text) with a ``labels`` row (doc_id, label 0 or 1).
 
-    The sample is drawn from ``labels`` alone: the ``max_rows`` doc_ids of each label with the smallest hash, so
-    that the rows that reach ``docs`` by broadcast are bounded. Of their texts those of up to ``max_bytes`` bytes
-    are used (a bound on what the training task holds; scoring takes whole texts of any length). Null labels and
-    texts are left out. Without two labels all weights are 0 and every score is the share of label 1.
+    The sample is that of labelled_sample(). Without two labels all weights are 0 and every score is the share of
+    label 1.
     """
-    known = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
-    known = known.withColumn("order", F.xxhash64("doc_id"))
-    few = known.where("label = 0").orderBy("order", "doc_id").limit(max_rows).unionByName(known.where("label = 1").orderBy("order", "doc_id").limit(max_rows))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(few), "doc_id").where(F.octet_length("text") <= max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -195,10 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int
             share = np.clip(y.mean(), 0.01, 0.99) if got else 0.5
             w = np.zeros(((len(WORD_ORDERS) + len(CHAR_ORDERS)) << BUCKET_BITS) + 2, np.float32)
             w[-1] = np.log(share / (1 - share))
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
+        counts = [pa.array([int((y == 0).sum())]), pa.array([int((y == 1).sum())])]
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), *counts], names=["weights", "n0", "n1"])
 
-    one = rows.select("order", "text", "label").dropDuplicates(["order"]).coalesce(1).mapInArrow(run, "weights binary").first()
-    return np.frombuffer(one["weights"], np.float32)
+    one = labelled_sample(docs, labels, max_rows, max_bytes).coalesce(1).mapInArrow(run, "weights binary, n0 long, n1 long").first()
+    weights = np.frombuffer(one["weights"], np.float32).copy()
+    weights[-1] += shift(labels, (one["n0"], one["n1"]))
+    return weights
 
 
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"

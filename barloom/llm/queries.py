@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, token_store
+from . import bpe, compression, quality_rules, token_store
 from .jaccard import jaccard_components
 from .scratch import Scratch
 
@@ -65,6 +66,13 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(files)
 
 
+@query("op4_compression_quality")
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(f"not ({compression.HELD_OUT})")
+    model = compression.fit(table(spark, sf_dir, "documents"), labels.select("doc_id", F.col("quality").alias("label")))
+    return compression.score(table(spark, sf_dir, "documents"), model)
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
