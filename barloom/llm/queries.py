@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, mixing, quality_rules, token_store
+from . import bpe, compression, mixing, quality_rules, resharding, token_store
 from .jaccard import jaccard_components
 from .scratch import Scratch
 
@@ -87,3 +87,8 @@ def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe_automaton")
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op9_flow_resharding")
+def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard_digests(table(spark, sf_dir, "documents"), shards=16)
