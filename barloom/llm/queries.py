@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, mixing, quality_rules, resharding, token_store
+from . import bpe, compression, mixing, quality_rules, resharding, token_store, topk
 from .jaccard import jaccard_components
 from .scratch import Scratch
 
@@ -73,6 +73,25 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(table(spark, sf_dir, "documents"), model)
 
 
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
+
+@query("op5_columnar_topk", _TOP_K)
+def op5_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    v = e.select("vec_id", F.transform("embedding", lambda x: F.floor(1024 * x.cast("double"))).alias("v"))
+    return topk.top_k(v, v.where("vec_id % 100 = 0"), k=10)
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

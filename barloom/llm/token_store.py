@@ -160,7 +160,7 @@ def _write(spec, folder: str, end_id: int):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for s in slices(batch.column(1)):
-                    starts, ends, offsets = s.words()
+                    starts, ends, offsets = chunks.words(s)
                     flat, n = ids_of.of(s, starts, ends)
                     first = np.concatenate([[0], np.cumsum(n)])[offsets]
                     end = np.full(len(s.texts), end_id, np.uint32)
