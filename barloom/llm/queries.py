@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, mixing, quality_rules, resharding, token_store, topk
+from . import bpe, compression, licences, mixing, quality_rules, resharding, token_store, topk
 from .jaccard import jaccard_components
 from .scratch import Scratch
 
@@ -111,3 +111,8 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_flow_resharding")
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard_digests(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op10_licence_dice", licences.scan_sql())
+def op10_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
