@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, licences, mixing, quality_rules, resharding, token_store, topk
+from . import bpe, compression, licences, mixing, passages, quality_rules, resharding, token_store, topk
 from .jaccard import jaccard_components
 from .scratch import Scratch
 
@@ -66,6 +66,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(files)
 
 
+@query("op3_compact_windows")
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, percent=80)
+
+
 @query("op4_compression_quality")
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(f"not ({compression.HELD_OUT})")
