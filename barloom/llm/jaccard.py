@@ -31,7 +31,7 @@ BLOCK = 1024
 #: Shingles that an order can put last (8 bytes each are broadcast), and the documents that make one of them.
 HOT_KEPT, HOT_FROM = 1 << 18, 64
 #: Tiles with the same first node mostly hold the same group; they are dealt to so many tasks, where a pair counts once.
-SPREAD = 4
+SPREAD = 2
 #: Pairs that a task remembers as already emitted.
 REMEMBERED = 1 << 19
 #: Bytes of the bit set by which a scan skips documents that no pair names.
@@ -39,11 +39,11 @@ SEEN_BYTES = 1 << 22
 
 
 def _log2(n: int) -> int:
-    return max(8, int(n - 1).bit_length()) if n > 1 else 8
+    return max(10, int(2 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bit h >> (64 - k) for each element, 2**k bits, at least as many as elements and 256."""
+    """Bit h >> (64 - k) for each element, 2**k bits, at least twice as many as elements and 1024."""
     k = _log2(len(s))
     bits = np.zeros(1 << k, bool)
     bits[(s >> U64(64 - k)).astype(np.int64)] = True
