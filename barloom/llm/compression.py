@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int
         yield pa.RecordBatch.from_arrays([pa.array([d], pa.list_(pa.binary())), *numbers], names=["dictionaries", "slope", "intercept", "n0", "n1"])
 
     schema = "dictionaries array<binary>, slope double, intercept double, n0 long, n1 long"
-    model = labelled_sample(docs, labels, max_rows, max_bytes).coalesce(1).mapInArrow(run, schema).first().asDict()
+    found = labelled_sample(docs, labels, max_rows, max_bytes).coalesce(1).mapInArrow(run, schema).first()
+    model = found.asDict() if found else {"dictionaries": [], "slope": 0.0, "intercept": 0.0, "n0": 0, "n1": 0}
     model["intercept"] += shift(labels, (model["n0"], model["n1"]))
     return model
 

@@ -177,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), *counts], names=["weights", "n0", "n1"])
 
     one = labelled_sample(docs, labels, max_rows, max_bytes).coalesce(1).mapInArrow(run, "weights binary, n0 long, n1 long").first()
+    if one is None:  # no sample at all: even odds
+        return np.zeros(((len(WORD_ORDERS) + len(CHAR_ORDERS)) << BUCKET_BITS) + 2, np.float32)
     weights = np.frombuffer(one["weights"], np.float32).copy()
     weights[-1] += shift(labels, (one["n0"], one["n1"]))
     return weights

@@ -22,6 +22,8 @@ OLD_SHARDS, BLOCKS = 256, 32_768
 HEAVY = 64
 #: Rows that are numbered in one group.
 GROUP_ROWS = 512
+#: The column that names a row's shard, and so the folders of shards.
+SHARD = "dealt_shard"
 
 
 def min_cost_flow(supply: list[int], demand: list[int], home: list[int | None]) -> dict[tuple[int, int], int]:
@@ -175,19 +177,19 @@ class Resharding:
         self.affected = sorted({j for j in leaving | joining if j < shards})
 
     def assigned(self) -> DataFrame:
-        """Rows with ``shard``: the block's new one, or the old one. Moved blocks are bounded by the driver's table."""
+        """Rows with their shard: the block's new one, or the old one. Moved blocks are bounded by the driver's table."""
         spark = self.docs.sparkSession
-        to = spark.createDataFrame([(*b, j) for b, j in self.moved.items()], "__old int, __block int, __part int, shard int")
+        to = spark.createDataFrame([(*b, j) for b, j in self.moved.items()], f"__old int, __block int, __part int, {SHARD} int")
         rows = self.rows.join(F.broadcast(to), ["__old", "__block", "__part"], "left")
-        return rows.withColumn("shard", F.coalesce("shard", "__old")).drop("__old", "__block", "__part", "__size")
+        return rows.withColumn(SHARD, F.coalesce(SHARD, "__old")).drop("__old", "__block", "__part", "__size")
 
     def rewrite(self) -> DataFrame:
         """All rows with their shard: affected shards from files written anew, others from where they were."""
         rows = self.assigned()
-        rows.where(F.col("shard").isin(self.affected)).write.partitionBy("shard").parquet(self.scratch.path("shards"), compression="zstd")
+        rows.where(F.col(SHARD).isin(self.affected)).write.partitionBy(SHARD).parquet(self.scratch.path("shards"), compression="zstd")
         written = self.docs.sparkSession.read.schema(rows.schema).parquet(self.scratch.path("shards"))
         still = sorted(set(range(self.shards)) - set(self.affected))
-        return written if not still else written.unionByName(rows.where(F.col("shard").isin(still)))
+        return written if not still else written.unionByName(rows.where(F.col(SHARD).isin(still)))
 
 
 def numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
@@ -215,6 +217,6 @@ def reshard_digests(docs: DataFrame, shards: int = 16) -> DataFrame:
     docs = docs if "__old" in docs.columns else file_shards(docs)
     rows = Resharding(docs, shards, scratch).rewrite()
     text = F.col("text").cast("string")
-    digests = rows.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("shard"))
+    digests = rows.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.col(SHARD).cast("int").alias("shard"))
     out = numbered(digests, ["doc_id", "text_crc32", "size"], scratch)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
