@@ -41,16 +41,19 @@ def asof_last(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 def nearest_within(events: DataFrame, days: DataFrame, key: str, event_date: str, day: str, tolerance: int) -> DataFrame:
     """Snap each event to the single nearest trading day within ``tolerance`` days (earlier wins ties).
 
+    Equal events stay apart.
+
     The date difference is exploded into an equi key, then the best day is picked by an aggregate.
     """
     offs = F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("__off")
-    cand = events.select("*", offs).withColumn("__day", F.date_add(F.col(event_date), F.col("__off")))
+    rest = events.columns
+    cand = events.withColumn("__event", F.monotonically_increasing_id()).select("*", offs).withColumn("__day", F.date_add(F.col(event_date), F.col("__off")))
     d = days.select(F.col(key), F.col(day).alias("__day")).distinct()
     hit = cand.join(d, [key, "__day"])
-    rest = [c for c in events.columns]
     return (
-        hit.groupBy(*rest)
+        hit.groupBy(*rest, "__event")
         .agg(F.min_by("__day", F.abs("__off") * 2 + (F.col("__off") > 0).cast("int")).alias("snap_date"))
+        .drop("__event")
     )
 
 

@@ -286,7 +286,10 @@ RATCHET_SCHEMA = "signal_pos long, exit_pos long, entry double, exit double, gra
 
 def channel_ratchet(df: DataFrame, keys: list[str], mode: str, pos: str = "pos", g_min: float = 0.10, frac: float = 0.25, arm: float = 0.25,
                     stop_frac: float = 0.5, m_atr: float = 3.0) -> DataFrame:
-    """Channel trades with a stop that only rises after entry: ``width`` (band-based, once armed) or ``atr`` (from the peak close)."""
+    """Channel trades with a stop that only rises after entry: ``width`` (band-based, once armed) or ``atr`` (from the peak close).
+
+    A trade still open at the end leaves at the last open, as all other fills do.
+    """
     schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(RATCHET_SCHEMA).fields)
     cols = ["open", "close", "upper", "lower", "annual_gradient", "atr"]
 
@@ -311,7 +314,7 @@ def channel_ratchet(df: DataFrame, keys: list[str], mode: str, pos: str = "pos",
                 rows.append((p[entry], p[i + 1], o[entry + 1], o[i + 1], g[entry]))
                 entry = None
         if entry is not None:
-            rows.append((p[entry], p[-1], o[entry + 1], c[-1], g[entry]))
+            rows.append((p[entry], p[-1], o[entry + 1], o[-1], g[entry]))
         out = pd.DataFrame(rows, columns=["signal_pos", "exit_pos", "entry", "exit", "grad"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])

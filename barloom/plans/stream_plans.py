@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators import recursion as rec
-from ..session import shared_dir
 from ..sources import tables as t
-from ..streaming import bars, state
+from ..streaming import bars
 from . import query
 from . import sqltext as q
 from .recursions import MEANS, START, TRANS, VARS, ewma_sql
 from .sqltext import r
 
-DONE = "w_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
 def _source(spark, sf):
-    return bars.tick_stream(spark, sf, "events.parquet")
+    return bars.tick_stream(spark, f"{sf}/events.parquet")
+
+
+def _ordered(spark, sf):
+    """All ticks that the stream delivered, with their place in the event-time order of their code."""
+    ticks = bars.run_parts(_source(spark, sf), lambda b: b.select("code", "ts", "event_id", "price"))
+    return ticks.withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy("ts", "event_id")) - 1)
+
+
+def _prior(df, value):
+    return F.lag(value).over(Window.partitionBy("code").orderBy("pos"))
 
 
 def _bar_sql(length: str, starts: str) -> str:
     return f"""WITH x AS (SELECT event_type AS code, {starts} AS w_start, ts, value FROM events), b AS (SELECT code, w_start, w_start + INTERVAL '{length}' AS w_end, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS n FROM x GROUP BY code, w_start)
- SELECT code, w_start AS start, n, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close FROM b WHERE {DONE}"""
+ SELECT code, w_start AS start, n, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close FROM b"""
+
+
+def _bars(spark, sf, length, slide=None):
+    return bars.merge_bar_parts(bars.run_parts(_source(spark, sf), lambda b: bars.bar_parts(b, length, slide)))
 
 
 def _bars_out(df):
@@ -32,21 +45,21 @@ def _bars_out(df):
 
 @query("stream_bars_tumbling", _bar_sql("30 minutes", "time_bucket(INTERVAL '30 minutes', ts)"))
 def _(spark, sf):
-    return _bars_out(bars.run_to_table(bars.window_bars(_source(spark, sf), "30 minutes", "1 hour")))
+    return _bars_out(_bars(spark, sf, "30 minutes"))
 
 
 @query("stream_bars_sliding", _bar_sql("60 minutes", "unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes'])"))
 def _(spark, sf):
-    return _bars_out(bars.run_to_table(bars.window_bars(_source(spark, sf), "60 minutes", "1 hour", "30 minutes")))
+    return _bars_out(_bars(spark, sf, "60 minutes", "30 minutes"))
 
 
 SESS = """WITH o AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR > ts THEN 0 ELSE 1 END AS nw FROM events), i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS isl FROM o),
  s AS (SELECT user_id, isl, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS w_end, count(*) AS n, sum(value) AS total FROM i GROUP BY user_id, isl)"""
 
 
-@query("stream_sessions", f"{SESS} SELECT user_id, start, w_end AS \"end\", n, {r('total')} AS total FROM s WHERE {DONE}")
+@query("stream_sessions", f"{SESS} SELECT user_id, start, w_end AS \"end\", n, {r('total')} AS total FROM s")
 def _(spark, sf):
-    s = bars.run_to_table(bars.session_stats(_source(spark, sf), "user_id", "2 hours", "1 hour"))
+    s = bars.chain_sessions(bars.run_parts(_source(spark, sf), lambda b: bars.session_parts(b, "user_id")), "user_id", 120)
     return s.select("user_id", "start", "end", "n", r6("total").alias("total"))
 
 
@@ -58,15 +71,17 @@ def _(spark, sf):
 
 @query("stream_upsert", f"""SELECT event_type AS code, user_id, CAST(ts AS DATE) AS day, max(ts) AS ts, {r('arg_max(value, ts)')} AS price FROM events GROUP BY ALL""")
 def _(spark, sf):
-    s = _source(spark, sf).withColumn("day", F.to_date("ts"))
-    s = s.groupBy("code", "user_id", "day").agg(F.max("ts").alias("ts"), F.max_by("price", "ts").alias("price"))
-    out = bars.run_upsert(s, ["code", "user_id", "day"], "day")
-    return out.select("code", "user_id", "day", "ts", r6("price").alias("price"))
+    keys = ["code", "user_id", "day"]
+    last = F.max(F.struct("ts", "event_id", "price")).alias("last")
+    parts = bars.run_parts(_source(spark, sf), lambda b: b.withColumn("day", F.to_date("ts")).groupBy(*keys).agg(last))
+    out = parts.groupBy(*keys).agg(F.max("last").alias("last"))
+    return out.select(*keys, "last.ts", r6(F.col("last.price")).alias("price"))
 
 
 @query("stream_dedupe", "SELECT event_id, event_type AS code FROM events")
 def _(spark, sf):
-    return bars.run_to_table(bars.dedupe_stream(_source(spark, sf), ["event_id"], "1 hour")).select("event_id", "code")
+    first = lambda b: b.groupBy("event_id").agg(F.min("code").alias("code"))
+    return first(bars.run_parts(_source(spark, sf), first))
 
 
 TK = "WITH tk AS (SELECT event_type AS code, ts, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS pos FROM events)"
@@ -74,8 +89,8 @@ TK = "WITH tk AS (SELECT event_type AS code, ts, value AS price, row_number() OV
 
 @query("stream_ewma_state", f"{TK}, e AS (SELECT code, ts, pos, {ewma_sql('price', 0.94)} AS v FROM tk) SELECT code, ts, {r('lag(v) OVER (PARTITION BY code ORDER BY pos)')} AS prior FROM e")
 def _(spark, sf):
-    d = bars.run_to_table(state.keyed_state(_source(spark, sf), "code", "ts", "price", state.ewma_step(0.94)))
-    return d.select("code", "ts", r6("prior").alias("prior"))
+    d = rec.ewma(_ordered(spark, sf), ["code"], "pos", [("v", F.col("price"), 0.94)])
+    return d.select("code", "ts", r6(_prior(d, "v")).alias("prior"))
 
 
 def _pdf(x, j):
@@ -88,20 +103,18 @@ def _pdf(x, j):
      (z.f0 * ((1 - h.p) * {TRANS[0][0]} + h.p * {TRANS[1][0]}) + z.f1 * ((1 - h.p) * {TRANS[0][1]} + h.p * {TRANS[1][1]})), h.p FROM h JOIN z ON z.code = h.code AND z.pos = h.pos + 1)
  SELECT code, ts, {r('prior')} AS prior FROM h""")
 def _(spark, sf):
-    src = _source(spark, sf).withColumn("x", F.col("price") / 1000)
-    d = bars.run_to_table(state.keyed_state(src, "code", "ts", "x", state.regime_step(MEANS, VARS, TRANS, START)))
-    return d.select("code", "ts", r6("prior").alias("prior"))
+    d = _ordered(spark, sf).withColumn("x", F.col("price") / 1000)
+    p = rec.regime_filter(d, "code", "pos", "x", MEANS, VARS, TRANS, START)
+    return p.select("code", "ts", r6(_prior(p, "p_1")).alias("prior"))
 
 
 BARTK = """WITH x AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS w_start, ts, value FROM events), b AS (SELECT code, w_start + INTERVAL '30 minutes' AS w_end, arg_max(value, ts) AS price FROM x GROUP BY code, w_start),
- tk AS (SELECT code, w_end AS ts, price, row_number() OVER (PARTITION BY code ORDER BY w_end) - 1 AS pos FROM b WHERE """ + DONE + ")"
+ tk AS (SELECT code, w_end AS ts, price, row_number() OVER (PARTITION BY code ORDER BY w_end) - 1 AS pos FROM b)"""
 
 
 @query("stream_bar_ewma_state", f"{BARTK}, e AS (SELECT code, ts, pos, {ewma_sql('price', 0.94)} AS v FROM tk) SELECT code, ts, {r('lag(v) OVER (PARTITION BY code ORDER BY pos)')} AS prior FROM e")
 def _(spark, sf):
     """Bars first, then state: a hot code reaches the state as one row per bar."""
-    table = shared_dir(spark, "bars")
-    b = bars.run_to_table(bars.window_bars(_source(spark, sf), "30 minutes", "1 hour"), path=table)
-    src = spark.readStream.schema(b.schema).parquet(table).withColumnRenamed("end", "ts")
-    d = bars.run_to_table(state.keyed_state(src, "code", "ts", "close", state.ewma_step(0.94)))
-    return d.select("code", "ts", r6("prior").alias("prior"))
+    b = _bars(spark, sf, "30 minutes").withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy("end")) - 1)
+    d = rec.ewma(b, ["code"], "pos", [("v", F.col("close"), 0.94)])
+    return d.select("code", F.col("end").alias("ts"), r6(_prior(d, "v")).alias("prior"))

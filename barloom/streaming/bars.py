@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +22,12 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def tick_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
-    """File stream of the tick files in a folder; bounded micro-batches."""
-    raw = (
-        spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", pattern).parquet(folder)
-    )
+def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """File stream of a tick table, one file or a folder of files; bounded micro-batches.
+
+    A pattern is the one form in which the source takes a single file as well as a folder.
+    """
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.select(F.col("event_type").alias("code"), "ts", F.col("value").alias("price"), "event_id", "user_id")
 
 
@@ -46,6 +48,45 @@ def window_bars(ticks: DataFrame, length: str, delay: str, slide: str | None = N
     )
 
 
+def bar_parts(ticks: DataFrame, length: str, slide: str | None = None) -> DataFrame:
+    """What one micro-batch knows of each bar; merge_bar_parts() makes bars of all of them, in any order of arrival.
+
+    Open and close are the first and last price by (ts, event_id).
+    """
+    w = F.window("ts", length, slide) if slide else F.window("ts", length)
+    tick = F.struct("ts", "event_id", "price")
+    return (
+        ticks.groupBy("code", w.alias("w"))
+        .agg(F.min(tick).alias("first"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(tick).alias("last"), F.count(F.lit(1)).alias("n"))
+        .select("code", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "first", "high", "low", "last", "n")
+    )
+
+
+def merge_bar_parts(parts: DataFrame) -> DataFrame:
+    g = parts.groupBy("code", "start", "end").agg(F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return g.select("code", "start", "end", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "n")
+
+
+def run_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain what is available and return ``part`` of every micro-batch so far, one folder for each.
+
+    A file stream has no event-time order, so nothing is dropped as late: the caller merges the parts, which may
+    hold rows of one key in any batch. A replayed batch overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    path = path or shared_dir(spark, "parts")
+    checkpoint = checkpoint or shared_dir(spark, "parts-ckpt")
+    schema = part(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def save(batch: DataFrame, number: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
 def session_stats(ticks: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
     """Gap-separated sessions per key."""
     return (
@@ -62,6 +103,16 @@ def batch_sessions(ticks: DataFrame, key: str, gap_minutes: int, chunk_minutes:
     Sessions are first closed inside each (key, chunk) by independent tasks; the few chunk sessions of a
     key (at most one boundary pair per chunk) are then chained where the gap between them is short enough.
     """
+    return chain_sessions(session_parts(ticks, key), key, gap_minutes, chunk_minutes)
+
+
+def session_parts(ticks: DataFrame, key: str) -> DataFrame:
+    """One row for each instant of a key: repeated timestamps collapse map-side."""
+    return ticks.groupBy(key, "ts").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+
+
+def chain_sessions(parts: DataFrame, key: str, gap_minutes: int, chunk_minutes: int = 1440) -> DataFrame:
+    """Sessions from session_parts() of any number of batches; see batch_sessions()."""
     from pyspark.sql.window import Window
 
     gap = F.expr(f"INTERVAL {gap_minutes} MINUTES")
@@ -71,8 +122,7 @@ def batch_sessions(ticks: DataFrame, key: str, gap_minutes: int, chunk_minutes:
         new = F.coalesce((F.lag(end).over(w) + gap <= F.col(start)).cast("int"), F.lit(1))
         return df.withColumn("__new", new).withColumn("__isl", F.sum("__new").over(w))
 
-    # unique instants first: repeated timestamps of a key collapse map-side
-    t = ticks.groupBy(key, "ts").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+    t = parts.groupBy(key, "ts").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     t = t.withColumn("__chunk", F.window("ts", f"{chunk_minutes} minutes").start)
     local = island(t, [key, "__chunk"], "ts", "ts").groupBy(key, "__chunk", "__isl").agg(
         F.min("ts").alias("s"), F.max("ts").alias("e"), F.sum("n").alias("n"), F.sum("total").alias("total")

@@ -69,25 +69,31 @@ def drawdown_step() -> Step:
     return step
 
 
-def keyed_state(stream: DataFrame, key: str, ts: str, value: str, step: Step, out: str = "prior") -> DataFrame:
-    """Apply ``step`` per key; output columns key, ts, value, ``out`` and the number of rows dropped so far."""
+def keyed_state(stream: DataFrame, key: str, ts: str, value: str, step: Step, out: str = "prior", tie: str | None = None) -> DataFrame:
+    """Apply ``step`` per key; output columns key, ts, value, ``out`` and the number of rows dropped so far.
+
+    For feeds in event-time order across micro-batches: rows before the key's last one can't be replayed into its
+    state and are counted as dropped (a backlog in any order goes through bars.run_parts). Equal timestamps are all
+    kept, in the order of ``tie`` (a long) where it is given.
+    """
     schema = f"{key} {stream.schema[key].dataType.simpleString()}, {ts} timestamp, {value} double, {out} double, dropped long"
 
     def run(k, frames, state: GroupState):
-        vec, last, dropped = state.get if state.exists else (None, None, 0)
+        vec, last, last_tie, dropped = state.get if state.exists else (None, None, None, 0)
         vec = list(vec) if vec is not None else None
-        pdf = pd.concat(list(frames)).sort_values(ts)
+        pdf = pd.concat(list(frames)).sort_values([ts, "__tie"], kind="stable")
         rows = []
-        for t, x in zip(pdf[ts], pdf[value]):
-            if last is not None and t.value <= last:
+        for t, x, e in zip(pdf[ts], pdf[value], pdf["__tie"]):
+            if last is not None and (t.value < last or (tie and t.value == last and e <= last_tie)):
                 dropped += 1
                 continue
             vec, prior = step(vec, float(x))
-            last = t.value
+            last, last_tie = t.value, int(e)
             rows.append((k[0], t, float(x), prior, dropped))
-        state.update((vec, last, dropped))
+        state.update((vec, last, last_tie, dropped))
         yield pd.DataFrame(rows, columns=[key, ts, value, out, "dropped"]).astype({out: "float64"})
 
-    return stream.select(key, ts, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(
-        run, schema, "vec array<double>, last long, dropped long", "append", GroupStateTimeout.NoTimeout
+    order = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+    return stream.select(key, ts, F.col(value).cast("double").alias(value), order.alias("__tie")).groupBy(key).applyInPandasWithState(
+        run, schema, "vec array<double>, last long, last_tie long, dropped long", "append", GroupStateTimeout.NoTimeout
     )

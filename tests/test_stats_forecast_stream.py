@@ -271,3 +271,32 @@ def test_batch_sessions_with_a_hot_key_equal_a_plain_walk(spark):
             size += 1
         want.append((k, size))
     assert got == sorted(want)
+
+
+def test_stream_plans_do_not_depend_on_files_or_their_order(spark, tmp_path):
+    """Events in 8 shuffled files of a folder, one or two a trigger, give the rows of one file, open windows and ties too."""
+    rng = np.random.default_rng(7)
+    data = [(i, at(float(m)), int(u), c, float(p), "{}") for i, (m, u, c, p) in enumerate(zip(rng.integers(0, 3000, 400), rng.integers(0, 4, 400), rng.choice(["a", "b"], 400), rng.random(400)))]
+    one, many = str(tmp_path / "one.parquet"), str(tmp_path / "many.parquet")
+    spark.createDataFrame(data, bars.EVENT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "folder"))
+    next((tmp_path / "folder").glob("part-*")).rename(one)
+    for part in np.array_split(rng.permutation(400), 8):
+        spark.createDataFrame([data[i] for i in part], bars.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(many)
+    for part, merge in (
+        (lambda b: bars.bar_parts(b, "30 minutes"), bars.merge_bar_parts),
+        (lambda b: bars.bar_parts(b, "60 minutes", "30 minutes"), bars.merge_bar_parts),
+        (lambda b: bars.session_parts(b, "user_id"), lambda p: bars.chain_sessions(p, "user_id", 120)),
+    ):
+        got = [sorted(map(str, merge(bars.run_parts(bars.tick_stream(spark, path, n), part)).withColumn("x", F.lit(0)).collect())) for path, n in ((one, 100), (many, 1), (many, 2))]
+        assert [[r.split("total=")[0] for r in g] for g in got] == [[r.split("total=")[0] for r in got[0]]] * 3
+    bar = bars.merge_bar_parts(bars.run_parts(bars.tick_stream(spark, many, 1), lambda b: bars.bar_parts(b, "30 minutes"))).collect()
+    assert sum(r["n"] for r in bar) == 400
+    r = bar[0]
+    inside = sorted((t, i, p) for i, t, _, c, p, _ in data if c == r["code"] and r["start"] <= t < r["end"])
+    assert (r["open"], r["close"]) == (inside[0][2], inside[-1][2])
+
+
+def test_keyed_state_keeps_equal_timestamps(spark):
+    x = [("a", at(0), 1.0), ("a", at(1), 2.0), ("a", at(1), 3.0)]
+    out = _run_in_two_steps(spark, lambda s: state.keyed_state(s, "code", "ts", "price", state.ewma_step(0.5), tie="event_id"), x, [("a", at(1), 4.0), ("a", at(0), 9.0)])
+    assert sorted(r["price"] for r in out.collect()) == [1.0, 2.0, 3.0, 4.0]
