@@ -147,8 +147,11 @@ class Bitmaps:
         self.half = np.packbits(pair).view(np.uint32)
         self.at = np.concatenate([[0], np.cumsum(self.words)])
 
-    def only(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs of rows: the bits only a has, and only b has. Sizes within a factor two are compared."""
+    def only(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of rows: the bits only a has, and only b has; sizes within a factor two are compared.
+
+        A fourth of the bits is counted first, and the rest only where a link of ``percent`` is still possible.
+        """
         x, y = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
         wa, wb = self.words[a], self.words[b]
         for ka, kb in {*zip(wa.tolist(), wb.tolist(), strict=True)}:
@@ -158,16 +161,20 @@ class Bitmaps:
             rows = np.flatnonzero((wa == ka) & (wb == kb))
             step = max(1, (1 << 21) // (8 * k))
             for part in (rows[i : i + step] for i in range(0, len(rows), step)):
-                p, q = self._rows(a[part], ka, k), self._rows(b[part], kb, k)
-                x[part] = np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
-                y[part] = np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64)
+                for lo, hi in ((0, k // 4), (k // 4, k)):
+                    p, q = self._rows(a[part], ka == k, lo, hi), self._rows(b[part], kb == k, lo, hi)
+                    x[part] += np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+                    y[part] += np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64)
+                    most = most_shared(n_a[part], n_b[part], x[part], y[part])
+                    part = part[100 * most >= percent * (n_a[part] + n_b[part] - most)]
         return x, y
 
-    def _rows(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+    def _rows(self, rows: np.ndarray, whole: bool, lo: int, hi: int) -> np.ndarray:
+        """Words lo to hi of some rows, or of their folded forms."""
         at = self.at[:-1][rows][:, None]
-        if words == to:
-            return self.whole[at + np.arange(to)].view(np.uint32)
-        return self.half[at + np.arange(2 * to)]
+        if whole:
+            return self.whole[at + np.arange(lo, hi)].view(np.uint32)
+        return self.half[at + np.arange(2 * lo, 2 * hi)]
 
 
 def most_shared(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
@@ -204,7 +211,7 @@ def _tiles(percent: int, best: bool):
             new &= (n[left] - pos[left] >= need) & (n[other] - pos[other] >= need)
             a, b = left[new], other[new]
             if len(a):
-                most = most_shared(n[a], n[b], *maps.only(a, b))
+                most = most_shared(n[a], n[b], *maps.only(a, b, n[a], n[b], percent))
                 fits = 100 * most >= percent * (n[a] + n[b] - most)
                 a, b, likely = a[fits], b[fits], (most / (n[a] + n[b] - most))[fits]
                 if best:  # within one step a row is at most once on either side
