@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textarrays import CHECKS, SEPARATOR, U64, WORDS, Slice, ragged
+from .textarrays import CHECKS, LOWER, SEPARATOR, U64, WORDS, Slice, hash_pairs, ragged
 
 #: Chunks a worker keeps (some 40 bytes each).
 KEPT = 3 << 19
@@ -58,10 +58,12 @@ class Ids:
     """Ids of chunks, remembered between batches.
 
     ``encode`` takes a list of byte strings and returns their ids one after the other, and how many each has.
+    ``literal``: for tokenizers that lower-case all text but some literal strings, these strings. Chunks that differ
+    in A-Z alone are then one, except in slices where such a string occurs in any case.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], literal: list[bytes] | None = None):
+        self.encode, self.literal = encode, literal
         self.clear()
 
     def clear(self) -> None:
@@ -81,7 +83,9 @@ class Ids:
         """The ids of all chunks one after the other, and how many each has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        hashes, checks = WORDS.segments(s.buf, starts, ends), CHECKS.segments(s.buf, starts, ends)
+        view = s.buf.tobytes()
+        fold = LOWER if self.literal is not None and not any(x.lower() in view.lower() for x in self.literal) else slice(None)
+        hashes, checks = hash_pairs(WORDS, CHECKS, s.buf, starts, ends, fold)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT:
             self.clear()
@@ -91,7 +95,6 @@ class Ids:
             return self.encode([s.buf[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])
         new = first[~known]
         if len(new):
-            view = s.buf.tobytes()
             self._add(keys[~known], checks[new], [view[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         rows = self.rows[np.searchsorted(self.keys, keys)]
         return ragged(self.ids, self.offsets, rows[which])

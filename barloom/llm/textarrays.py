@@ -68,6 +68,20 @@ class Hasher:
         return mix(out + (lens.astype(U64) << U64(32)))
 
 
+def hash_pairs(one: Hasher, two: Hasher, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """segments() of two hashers for segments that are not empty, with bytes read as ``fold`` says."""
+    n = ends - starts
+    first = np.cumsum(n) - n
+    within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+    letters = buf[within + np.repeat(starts, n)]
+    out = []
+    for h in (one, two):
+        values = h.table[fold][letters]
+        values *= h.power(int(n.max()))[within]
+        out.append(mix(np.add.reduceat(values, first) + (n.astype(U64) << U64(32))))
+    return out[0], out[1]
+
+
 WORDS = Hasher(1)
 CHECKS = Hasher(2)
 LOWER = np.arange(256)

@@ -16,6 +16,7 @@ are numbered in ascending doc_id order.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -143,12 +144,19 @@ def _library(spec: str):
     return encode
 
 
+def _literal(spec: str) -> list[bytes] | None:
+    """The strings that a lower-casing tokenizer leaves as they are; None for others."""
+    rules = json.loads(spec)
+    steps = (rules["normalizer"] or {}).get("normalizers", [rules["normalizer"] or {}])
+    return [t["content"].encode() for t in rules["added_tokens"]] if any(x.get("type") == "Lowercase" for x in steps) else None
+
+
 def _write(spec, folder: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         if "ids" not in _WORKER:
-            _WORKER["ids"] = chunks.Ids(_library(spec.value))
+            _WORKER["ids"] = chunks.Ids(_library(spec.value), _literal(spec.value))
         ids_of = _WORKER["ids"]
         part = TaskContext.get().partitionId()
         fs, root = _open(folder)

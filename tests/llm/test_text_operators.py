@@ -98,7 +98,7 @@ def test_token_store_round_trip(spark, corpus, monkeypatch):
     monkeypatch.setattr(token_store, "FRAME_BYTES", 2000)
     path = tokenizer_path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    rows = corpus + [(159, "don't <|endoftext|> we'll, x.y!'s <|startoftext|>", "s")]
+    rows = corpus + [(159, "don't <|endoftext|> we'll, x.y!'s <|startoftext|>", "s"), (160, "Case CASE case <|ENDOFTEXT|> ÉCOLE école", "s"), (161, "ONE One one", "s")]
     files = token_store.write_tokens(table(spark, rows), path, Scratch(spark, "t").path("ids"), end_id=1)
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][1] is not None, (rows[k][1] or "").encode()))
     want, start = [], 0
