@@ -2,8 +2,8 @@
 
 A text is looked at as a whole, by paragraphs and by lines. Two bounds keep most of it out: a segment of n distinct
 bigrams can reach the coefficient with a template of m only if n lies between m * t / (2 - t) and m * (2 - t) / t;
-and a segment that reaches it holds more than the rest of the template's bigrams, so it holds an anchor, one of some
-words that enough bigrams of each template have. Texts without any anchor are dropped before anything is split.
+and a segment that reaches it holds more than the rest of the template's bigrams, so it holds an anchor, one of enough
+bigrams of each template. Texts and segments without any anchor are dropped before they are cut into bigrams.
 Templates are literals of the plan, so there is no join, and rows never leave the JVM.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,25 +50,27 @@ def size_bounds(m: int, threshold: float) -> tuple[int, int]:
 
 
 def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
-    """Words of which every segment that reaches ``threshold`` with a template has one.
+    """Bigrams of which every segment that reaches ``threshold`` with a template has one.
 
-    A match shares at least m * t / (2 - t) of a template's m bigrams, so anchors that more than the remaining
-    bigrams have can't all be missing. Longer words that more templates have are taken first.
+    A match shares at least m * t / (2 - t) of a template's m bigrams, so one more than the remaining ones can't all
+    be missing. The longest are taken, after those that other templates have taken already.
     """
-    shared = Counter(w for _, t in templates for w in {w for b in bigrams_of(t) for w in b.split()})
     chosen: list[str] = []
     for _, text in templates:
         grams = bigrams_of(text)
         enough = len(grams) - size_bounds(len(grams), threshold)[0] + 1
-        for w in [*chosen, *sorted({w for b in grams for w in b.split()}, key=lambda w: (-len(w) - 2 * shared[w] * (len(w) > 4), w))]:
-            covered = [b for b in grams if set(b.split()) & set(chosen)]
-            if len(covered) >= enough:
-                break
-            if w not in chosen:
-                chosen.append(w)
+        own = [g for g in grams if g in chosen]
+        more = sorted((g for g in grams if g not in chosen), key=lambda g: (-len(g), g))
+        chosen += more[: max(0, enough - len(own))]
     return sorted(chosen)
 
 
+def _any_anchor(templates: list[tuple[str, str]], threshold: float) -> str:
+    """A pattern for lower-cased text: an anchor's two words with only other characters between and a break before."""
+    gap = r"[^\p{L}\p{N}]+"
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(gap.join(map(re.escape, g.split())) for g in anchors(templates, threshold)) + ")"
+
+
 def _bigrams(segment: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(F.lower(segment), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -87,12 +88,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     templates = TEMPLATES if templates is None else templates
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.where(F.lower("text").rlike("|".join(map(re.escape, anchors(templates, threshold)))))
+    rows = rows.where(F.lower("text").rlike(_any_anchor(templates, threshold)))
     parts = F.array_distinct(F.concat(F.array("text"), F.split("text", "\n\n"), F.split("text", "\n")))
     rows = rows.select("doc_id", F.explode(parts).alias("segment"))
     bounds = [(name, b, *size_bounds(len(b), threshold)) for name, b in ((n, bigrams_of(t)) for n, t in templates)]
     widest = max(hi for *_, hi in bounds)
-    rows = rows.where(F.col("segment").rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]")).withColumn("grams", _bigrams(F.col("segment"))).withColumn("n", F.size("grams"))
+    rows = rows.where(F.lower("segment").rlike(_any_anchor(templates, threshold))).withColumn("grams", _bigrams(F.col("segment"))).withColumn("n", F.size("grams"))
     rows = rows.where((F.col("n") > 0) & (F.col("n") <= widest))
     options = []
     for name, grams, lo, hi in bounds:
