@@ -27,6 +27,24 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def _attach(df: DataFrame, found: DataFrame, by: list[str], equal: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """Join columns of ``found`` on ``by``, where NULL is a group as in a window, and on equal values of ``equal``."""
+    keys = [*by, *equal]
+    found = found.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"__key{i}") if k in equal else F.col(k).eqNullSafe(F.col(f"__key{i}")))
+    return df.join(found, on, how).drop(*[f"__key{i}" for i in range(len(keys))])
+
+
+def _tie_cuts(df: DataFrame, by: list[str], tie: str, splits: int) -> DataFrame:
+    """splits - 1 cut points of a key of any orderable type, from a bounded sample drawn by hash; they need not be exact."""
+    drawn = df.groupBy(*by, F.pmod(F.xxhash64(tie), F.lit(64 * splits)).alias("__d")).agg(F.min_by(tie, F.xxhash64(F.lit(1), tie)).alias("__t"))
+    drawn = drawn.groupBy(*by).agg(F.sort_array(F.collect_list("__t")).alias("__t"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(splits - 1)), lambda i: F.get("__t", F.floor(i * F.size("__t") / splits).cast("int")))
+    return drawn.select(*by, at.alias("__tc"))
+
+
 def with_stats(df: DataFrame, by, aggs: dict[str, Column], splits: int = 1) -> DataFrame:
     """Add aggregates of the row's cross-section as columns."""
     by = _by(by)
@@ -34,7 +52,7 @@ def with_stats(df: DataFrame, by, aggs: dict[str, Column], splits: int = 1) -> D
         w = Window.partitionBy(*by)
         return df.withColumns({k: a.over(w) for k, a in aggs.items()})
     df = materialise(df)
-    return df.join(df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()]), by)
+    return _attach(df, df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()]), by)
 
 
 def with_row_number(df: DataFrame, by, value: str, tie: str, out: str = "rn", descending: bool = False,
@@ -47,10 +65,7 @@ def with_row_number(df: DataFrame, by, value: str, tie: str, out: str = "rn", de
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     df = materialise(df)
     probs = [i / splits for i in range(1, splits)]
-    cuts = df.groupBy(*by).agg(
-        F.percentile_approx(value, probs, 10_000).alias("__vc"),
-        F.percentile_approx(tie, probs, 10_000).alias("__tc"),
-    )
+    cuts = _attach(df.groupBy(*by).agg(F.percentile_approx(value, probs, 10_000).alias("__vc")), _tie_cuts(df, by, tie, splits), by)
     below = F.size(F.filter("__vc", lambda c: c < v))
     on_cut = F.array_contains("__vc", v)
     # values equal to a cut point form buckets of their own, which may be sub-split by the tie key
@@ -58,12 +73,13 @@ def with_row_number(df: DataFrame, by, value: str, tie: str, out: str = "rn", de
     if descending:
         vb = F.when(v.isNull(), vb).otherwise(F.lit(2 * splits) - vb)
     tb = F.when(v.isNull() | on_cut, F.size(F.filter("__tc", lambda c: c < F.col(tie)))).otherwise(0)
-    tagged = df.join(cuts, by).withColumns({"__vb": vb, "__tb": tb}).drop("__vc", "__tc")
+    tagged = _attach(df, cuts, by).withColumns({"__vb": vb, "__tb": tb}).drop("__vc", "__tc")
     counts = tagged.groupBy(*by, "__vb", "__tb").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__vb", "__tb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "__vb", "__tb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = F.row_number().over(Window.partitionBy(*by, "__vb", "__tb").orderBy(*order))
-    ranked = tagged.withColumn("__in", inside).join(offsets, [*by, "__vb", "__tb"])
+    ranked = tagged.withColumn("__in", inside)
+    ranked = _attach(ranked, offsets, by, ("__vb", "__tb"))
     return ranked.withColumn(out, (F.col("__in") + F.col("__off")).cast("int")).drop("__vb", "__tb", "__in", "__off")
 
 
@@ -78,7 +94,7 @@ def with_average_rank(df: DataFrame, by, value: str, tie: str, out: str = "avg_r
         return df.withColumn(out, F.when(v.isNotNull(), rank))
     rn = materialise(with_row_number(df, by, value, tie, "__rn", splits=splits))
     ties = rn.where(v.isNotNull()).groupBy(*by, value).agg(F.avg("__rn").alias(out))
-    return rn.join(ties, [*by, value], "left").drop("__rn")
+    return _attach(rn, ties, by, (value,), "left").drop("__rn")
 
 
 def rank_pct(df: DataFrame, by, value: str, tie: str, out: str, splits: int = 1) -> DataFrame:
@@ -129,7 +145,7 @@ def winsorise_by_quantile(df: DataFrame, by, value: str, lo: float = 0.01, hi: f
     if floor is not None:
         df = df.withColumn(value, F.when(F.col(value).isNotNull(), F.greatest(F.col(value), F.lit(floor))))
     q = quantiles(df, by, value, [lo, hi], tie, splits, "__q")
-    return df.join(q, _by(by), "left").withColumn(value, clip(value, F.col("__q")[0], F.col("__q")[1])).drop("__q")
+    return _attach(df, q, _by(by), how="left").withColumn(value, clip(value, F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
 def top_n(df: DataFrame, by, value: str, n: int, tie: str, out: str = "eligible", splits: int = 1) -> DataFrame:
@@ -166,7 +182,7 @@ def cost_tier(df: DataFrame, by, liquidity: str, bps: tuple[float, float, float]
     q = quantiles(df, by, liquidity, [1 / 3, 2 / 3], tie, splits, "__q")
     x = F.col(liquidity)
     tier = F.when(x >= F.col("__q")[1], bps[0]).when(x >= F.col("__q")[0], bps[1]).otherwise(bps[2])
-    return df.join(q, _by(by)).withColumn(out, tier.cast("double")).drop("__q")
+    return _attach(df, q, _by(by)).withColumn(out, tier.cast("double")).drop("__q")
 
 
 def qcut(df: DataFrame, by, value: str, buckets: int, tie: str = "code", splits: int = 1, out: str = "bucket") -> DataFrame:
@@ -176,7 +192,7 @@ def qcut(df: DataFrame, by, value: str, buckets: int, tie: str = "code", splits:
     edges = F.array_distinct("__q")
     inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
     v = F.col(value)
-    return df.join(q, _by(by)).withColumn(out, F.when(v.isNotNull(), F.size(F.filter(inner, lambda e: e < v)))).drop("__q")
+    return _attach(df, q, _by(by)).withColumn(out, F.when(v.isNotNull(), F.size(F.filter(inner, lambda e: e < v)))).drop("__q")
 
 
 def equal_split(df: DataFrame, by, value: str, parts: int, tie: str, out: str = "part", splits: int = 1) -> DataFrame:
