@@ -231,12 +231,14 @@ def whole_share_error(target: float, price: Column) -> tuple[Column, Column]:
 def slot_portfolio(trades: DataFrame, keys: list[str], slots: int, entry: str = "entry", exit_: str = "exit", name: str = "code", priority: str = "grad") -> DataFrame:
     """Trades accepted by a book of ``slots`` positions: best priority first, held names skipped, exits free their slot on their own date.
 
-    On any date at most ``slots`` trades start and at most ``slots`` candidates are skipped because their
-    name is held, so only the top 2*slots per entry date can ever be taken. That exact pre-selection runs
+    Of the trades of one name and entry date only the best can be taken. On any date at most ``slots`` trades
+    start and at most ``slots`` candidates are skipped because their name is held, so only the top 2*slots per entry date can ever be taken. That exact pre-selection runs
     distributed; the sequential walk then sees at most 2*slots rows per date and parameter cell.
     """
     rank = Window.partitionBy(*keys, entry).orderBy(F.col(priority).desc(), F.col(name).desc())
-    cand = trades.where(F.col(exit_) > F.col(entry)).withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= 2 * slots)
+    same = Window.partitionBy(*keys, entry, name).orderBy(F.col(priority).desc(), F.col(exit_).asc())
+    cand = trades.where(F.col(exit_) > F.col(entry)).withColumn("__r", F.row_number().over(same)).where("__r = 1")
+    cand = cand.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= 2 * slots)
     cols = [c for c in cand.columns if c != "__r"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
