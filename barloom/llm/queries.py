@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, licences, mixing, passages, quality_rules, resharding, token_store, topk
+from . import bpe, compression, licences, mixing, passages, phrases, quality_rules, resharding, runs, secret_scan, token_store, topk
 from .jaccard import jaccard_components
 from .scratch import Scratch
 
@@ -121,3 +121,18 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licence_dice", licences.scan_sql())
 def op10_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_rabin_karp_phrases", phrases.collocations_sql())
+def op11_rabin_karp_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, top=2000, covered=80)
+
+
+@query("op12_markov_secrets", secret_scan.scan_sql())
+def op12_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_suffix_runs", runs.runs_sql())
+def op13_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), least=6, times=4, planted=True)
