@@ -2,8 +2,8 @@
 
 The forms find assignments, access keys and hexadecimal strings. They also label the samples: the values they find are
 random strings, the runs of identifier characters outside them that hold a letter are ordinary. Two first-order Markov
-models of characters are counted on all distinct labelled strings. A further run of 16 or more characters is a secret
-if the log-likelihood ratio of the models is high enough, in sum and for each transition. The random model is half the
+models of characters are counted on all distinct labelled strings. A further run of 16 or more characters
+with a letter (long numbers are none) is a secret if the log-likelihood ratio of the models is high enough, in sum and for each transition. The random model is half the
 counts and half the uniform distribution, the ordinary one nearly its counts, so neither depends on the size of the
 sample: with few random strings the first is near uniform. The models are at most 128 x 128 integers (thousandths of a
 nat), a literal of the scoring plan; nothing is joined, and rows never leave the JVM.
@@ -32,7 +32,7 @@ SYMBOLS = 66
 #: Weights of the counts in the two models; the rest is uniform over the symbols.
 RANDOM_WEIGHT, ORDINARY_WEIGHT = 0.5, 0.99
 #: Log-likelihood ratio that makes a secret, in thousandths of a nat: in sum, and for each transition.
-TOTAL, MEAN = 14_000, 900
+TOTAL, MEAN = 14_000, 1_000
 #: Matches whose places are summed in one fold; longer lists are summed block by block.
 BLOCK = 256
 
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, ratios: list[int] | None = None) -> DataFrame:
         named.append(_named(at, order, kind))
     rows = rows.withColumn("base", F.array_sort(F.concat(*named)))
     table = F.array(*[F.lit(r) for r in ratios])
-    secret = lambda s, v: F.when((_score(v, table) >= TOTAL) & (_score(v, table) >= MEAN * (F.length(v) - 1)), s)
+    secret = lambda s, v: F.when(v.rlike("[A-Za-z]") & (_score(v, table) >= TOTAL) & (_score(v, table) >= MEAN * (F.length(v) - 1)), s)
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     found = F.filter(F.zip_with("runs_at", "runs", secret), lambda s: s.isNotNull())
     rows = rows.withColumn("added", F.filter(found, free))
@@ -211,7 +211,7 @@ scores AS (
   GROUP BY k),
 added AS (
   SELECT r, {len(FORMS)} AS o, '{ADDED}' AS kind, start, start + len(string) AS stop FROM runs JOIN scores USING (k)
-  WHERE score >= {TOTAL} AND score >= {MEAN} * (len(string) - 1)
+  WHERE regexp_matches(string, '[A-Za-z]') AND score >= {TOTAL} AND score >= {MEAN} * (len(string) - 1)
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = runs.r AND b.start < runs.start + len(string) AND runs.start < b.stop)),
 spans AS (SELECT r, o, kind, start, stop FROM base UNION ALL SELECT * FROM added),
 per AS (
