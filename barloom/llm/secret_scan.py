@@ -2,10 +2,10 @@
 
 The forms find assignments, access keys and hexadecimal strings. They also label the samples: the values they find are
 random strings, the runs of identifier characters outside them that hold a letter are ordinary. Two first-order Markov
-models of characters are counted on all distinct labelled strings. A further run of 16 or more characters
-with a letter (long numbers are none) is a secret if the log-likelihood ratio of the models is high enough, in sum and for each transition. The random model is half the
-counts and half the uniform distribution, the ordinary one nearly its counts, so neither depends on the size of the
-sample: with few random strings the first is near uniform. The models are at most 128 x 128 integers (thousandths of a
+models of characters are counted on all distinct labelled strings. A further run of 16 or more characters with a
+letter is a secret if the log-likelihood ratio of the models is high enough, in sum and for each transition. The random
+model is half the counts and half the uniform distribution, the ordinary one nearly its counts, so neither depends on
+the size of the sample: with few random strings the first is near uniform. The models are at most 128 x 128 integers (thousandths of a
 nat), a literal of the scoring plan; nothing is joined, and rows never leave the JVM.
 """
 
