@@ -27,7 +27,8 @@ from .seen import among, seen
 from .textarrays import CHECKS, LOWER, U64, WORDS, Slice, hash_pairs, mix, slices, stream
 
 LONGEST = 4
-SLICE_BYTES = 8 << 20
+#: Bytes of text hashed at once, texts looked at together, and phrases of a task that are counted before they are shuffled.
+SLICE_BYTES, TEXTS, HELD = 1 << 20, 1000, 3 << 19
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BETWEEN = BREAK.copy()
@@ -103,39 +104,53 @@ class Grams:
 
 def _by_language(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[str, Grams, np.ndarray]]:
     """(lang, grams of a slice, keys of its texts) of a batch (lang, text, key)."""
-    column = batch.column(0).dictionary_encode()
-    codes = column.indices.to_numpy(zero_copy_only=False)
-    for code, lang in enumerate(column.dictionary.to_pylist()):
-        own = batch.filter(pa.array(codes == code))
-        keys = own.column(2).to_numpy(zero_copy_only=False)
-        for s in slices(own.column(1), SLICE_BYTES):
-            g = Grams(s, bits)
-            if len(g.starts):
-                yield lang, g, keys[s.first : s.first + len(s.texts)]
+    for at in range(0, batch.num_rows, TEXTS):
+        some = batch.slice(at, TEXTS)
+        column = some.column(0).dictionary_encode()
+        codes = column.indices.to_numpy(zero_copy_only=False)
+        for code, lang in enumerate(column.dictionary.to_pylist()):
+            own = some.filter(pa.array(codes == code))
+            keys = own.column(2).to_numpy(zero_copy_only=False)
+            for s in slices(own.column(1), SLICE_BYTES):
+                g = Grams(s, bits)
+                if len(g.starts):
+                    yield lang, g, keys[s.first : s.first + len(s.texts)]
 
 
 COUNTS = "lang string, print long, n long, low long, high long, key long"
 
 
-def _counted(texts: DataFrame, lengths: tuple[int, ...], part: int, frequent, bits: int) -> DataFrame:
-    """Counts (see COUNTS) of the phrases of these lengths whose runs of ``part`` words are all in ``frequent``."""
+def _grouped(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """One row (see COUNTS) for each fingerprint of each language, of lists of (prints, checks, keys)."""
     names = [f.split()[0] for f in COUNTS.split(", ")]
+    for lang, parts in held.items():
+        prints, checks, keys = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if not len(prints):
+            continue
+        order = np.argsort(prints)
+        prints, checks, keys = prints[order], checks[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        n = np.diff(np.concatenate([first, [len(prints)]]))
+        columns = [prints[first], n, np.minimum.reduceat(checks, first), np.maximum.reduceat(checks, first), np.minimum.reduceat(keys, first)]
+        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(first), np.int64))), *map(pa.array, columns)], names=names)
+
 
+def _counted(texts: DataFrame, lengths: tuple[int, ...], part: int, frequent, bits: int) -> DataFrame:
+    """Counts (see COUNTS) of the phrases of these lengths whose runs of ``part`` words are all in ``frequent``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(frequent.value, np.uint8) if frequent else None
+        held: dict[str, list] = {}
+        size = 0
         for batch in batches:
             for lang, g, keys in _by_language(batch, bits):
                 for k in lengths:
                     at = g.places(k) if known is None else g.inside(g.places(k), k, part, known)
-                    if not len(at):
-                        continue
-                    prints = g.prints(at, k)
-                    order = np.argsort(prints)
-                    prints, checks, key = prints[order], g.checks(at, k)[order].view(np.int64), keys[g.text[at]][order]
-                    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-                    n = np.diff(np.concatenate([first, [len(prints)]]))
-                    parts = [prints[first].view(np.int64), n, np.minimum.reduceat(checks, first), np.maximum.reduceat(checks, first), np.minimum.reduceat(key, first)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(first), np.int64))), *map(pa.array, parts)], names=names)
+                    held.setdefault(lang, []).append((g.prints(at, k).view(np.int64), g.checks(at, k).view(np.int64), keys[g.text[at]]))
+                    size += len(at)
+                if size >= HELD:
+                    yield from _grouped(held)
+                    held, size = {}, 0
+        yield from _grouped(held)
 
     rows = texts.mapInArrow(run, COUNTS)
     return rows.groupBy("lang", "print").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("key").alias("key"))

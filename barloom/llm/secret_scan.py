@@ -31,6 +31,8 @@ IDENTIFIER = r"[A-Za-z0-9+/_=-]{6,}"
 SYMBOLS = 66
 #: Weights of the counts in the two models; the rest is uniform over the symbols.
 RANDOM_WEIGHT, ORDINARY_WEIGHT = 0.5, 0.99
+#: Taken off each count of the ordinary model, so that a secret that no form names does not vouch for itself.
+DISCOUNT = 5
 #: Log-likelihood ratio that makes a secret, in thousandths of a nat: in sum, and for each transition.
 TOTAL, MEAN = 14_000, 1_000
 #: Matches whose places are summed in one fold; longer lists are summed block by block.
@@ -104,9 +106,9 @@ def transitions(strings: DataFrame) -> DataFrame:
 
 def _ratio(pair: str, n: dict[str, dict], first: dict[str, dict]) -> int:
     p = []
-    for random, weight in ((True, RANDOM_WEIGHT), (False, ORDINARY_WEIGHT)):
+    for random, weight, less in ((True, RANDOM_WEIGHT, 0), (False, ORDINARY_WEIGHT, DISCOUNT)):
         of = first[random].get(pair[0], 0)
-        counted = weight * (n[random].get(pair, 0) / of) if of else weight / SYMBOLS
+        counted = weight * (max(n[random].get(pair, 0) - less, 0) / of) if of else weight / SYMBOLS
         p.append(counted + (1 - weight) / SYMBOLS)
     return math.floor(1000 * math.log(p[0] / p[1]) + 0.5)
 
@@ -189,7 +191,7 @@ def scan_sql() -> str:
 
     kinds = " UNION ALL ".join(f"SELECT r, {o} AS o, '{k}' AS kind, unnest({at(p)}) AS s FROM docs" for o, (k, p) in enumerate(forms.items()))
     kept = f"(kind <> 'assign' OR len(regexp_extract(s.match, {forms['assign']}, 2)) >= {ASSIGNED})"
-    model = lambda label, weight: f"coalesce({weight} * (coalesce({label}.n, 0) / {label}_of.n), {weight} / {SYMBOLS}) + (1 - {weight}) / {SYMBOLS}"
+    model = lambda label, weight, less: f"coalesce({weight} * (greatest(coalesce({label}.n, 0) - {less}, 0) / {label}_of.n), {weight} / {SYMBOLS}) + (1 - {weight}) / {SYMBOLS}"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({kinds}),
@@ -204,7 +206,7 @@ firsts AS (SELECT random, pair[1:1] AS a, sum(n) AS n FROM pairs GROUP BY random
 runs AS (SELECT row_number() OVER () AS k, r, s.start AS start, s.match AS string FROM (SELECT r, unnest({at(quote(CANDIDATE))}) AS s FROM docs)),
 run_pairs AS (SELECT k, unnest(list_transform(range(1, len(string)), lambda i: string[i : i + 1])) AS pair FROM runs),
 scores AS (
-  SELECT k, sum(CAST(floor(1000 * ln(({model('x', RANDOM_WEIGHT)}) / ({model('y', ORDINARY_WEIGHT)})) + 0.5) AS BIGINT)) AS score
+  SELECT k, sum(CAST(floor(1000 * ln(({model('x', RANDOM_WEIGHT, 0)}) / ({model('y', ORDINARY_WEIGHT, DISCOUNT)})) + 0.5) AS BIGINT)) AS score
   FROM run_pairs p
   LEFT JOIN pairs x ON x.random AND x.pair = p.pair LEFT JOIN firsts x_of ON x_of.random AND x_of.a = p.pair[1:1]
   LEFT JOIN pairs y ON NOT y.random AND y.pair = p.pair LEFT JOIN firsts y_of ON NOT y_of.random AND y_of.a = p.pair[1:1]

