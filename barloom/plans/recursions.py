@@ -170,18 +170,51 @@ def _(spark, sf):
     return out.select("code", "hot", r6("width").alias("width"), r6("breach").alias("breach"), "n")
 
 
-@query("regime_study_by_name", f"""WITH RECURSIVE {REG}, f AS (SELECT *, lead(lret) OVER (PARTITION BY code ORDER BY pos) AS fwd FROM rg)
- SELECT code, {r('avg(CASE WHEN hot THEN fwd END)')} AS fwd_hot, {r('avg(CASE WHEN NOT hot THEN fwd END)')} AS fwd_calm,
-  {r('avg(CASE WHEN hot THEN 0 ELSE lret END) / stddev_pop(CASE WHEN hot THEN 0 ELSE lret END) * sqrt(252.0)')} AS sharpe_out FROM f GROUP BY code""")
-def _(spark, sf):
-    d = regimes(spark, sf)
-    d = d.withColumns({"hot": F.coalesce(F.lag("p_1").over(BAR.ordered) >= 0.5, F.lit(False)), "fwd": F.lead("lret").over(BAR.ordered)})
-    x = F.when(F.col("hot"), 0.0).otherwise(F.col("lret"))
+HORIZON, FEWEST = 20, 30  # outcome in days, and held-out days that each regime must have
+STUDY = REG + f""", st AS (SELECT *, count(*) OVER (PARTITION BY code) AS bars, lag(p) OVER k AS before, sum(lret) OVER (k ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS fwd FROM h WINDOW k AS (PARTITION BY code ORDER BY pos)),
+  te AS (SELECT *, pos < bars - {HORIZON} AS known, CASE WHEN coalesce(before, 0.5) < 0.5 THEN lret ELSE 0 END AS timed FROM st WHERE pos >= bars // 2),
+  per AS (SELECT code, count(*) FILTER (known AND p >= 0.5) AS n_hot, count(*) FILTER (known AND p < 0.5) AS n_calm, avg(fwd) FILTER (known AND p >= 0.5) AS fwd_hot, avg(fwd) FILTER (known AND p < 0.5) AS fwd_calm,
+    avg(lret) AS m_hold, stddev_pop(lret) AS s_hold, avg(timed) AS m_timed, stddev_pop(timed) AS s_timed FROM te GROUP BY code),
+  study AS (SELECT code, n_hot, n_calm, fwd_hot, fwd_calm, CASE WHEN s_hold > 0 THEN m_hold / s_hold * sqrt(252.0) ELSE 0 END AS sharpe_hold, CASE WHEN s_timed > 0 THEN m_timed / s_timed * sqrt(252.0) ELSE 0 END AS sharpe_timed
+    FROM per WHERE n_hot >= {FEWEST} AND n_calm >= {FEWEST})"""
+
+
+def regime_study(d, horizon: int = HORIZON, fewest: int = FEWEST):
+    """Held-out second half of each name: outcome of the next days by regime, and leaving while turbulent against holding.
+
+    The outcome of a day is known if ``horizon`` days follow. The timed return is in the market if the day before was
+    calm (0.5 before the first day, so not calm). Names with fewer than ``fewest`` known days of a regime are left out.
+    """
+    d = d.withColumns({
+        "bars": F.count(F.lit(1)).over(Window.partitionBy("code")), "before": F.coalesce(F.lag("p_1").over(BAR.ordered), F.lit(0.5)),
+        "fwd": F.sum("lret").over(BAR.ordered.rowsBetween(1, horizon)),
+    }).where(F.col("pos") >= F.floor(F.col("bars") / 2))
+    known, hot = F.col("pos") < F.col("bars") - horizon, F.col("p_1") >= 0.5
+    timed = F.when(F.col("before") < 0.5, F.col("lret")).otherwise(0.0)
+    sharpe = lambda x: F.when(F.stddev_pop(x) > 0, F.avg(x) / F.stddev_pop(x) * 252**0.5).otherwise(0.0)
     out = d.groupBy("code").agg(
-        F.avg(F.when(F.col("hot"), F.col("fwd"))).alias("a"), F.avg(F.when(~F.col("hot"), F.col("fwd"))).alias("b"),
-        (F.avg(x) / F.stddev_pop(x) * 252**0.5).alias("s"),
+        F.count(F.when(known & hot, 1)).alias("n_hot"), F.count(F.when(known & ~hot, 1)).alias("n_calm"),
+        F.avg(F.when(known & hot, F.col("fwd"))).alias("fwd_hot"), F.avg(F.when(known & ~hot, F.col("fwd"))).alias("fwd_calm"),
+        sharpe(F.col("lret")).alias("sharpe_hold"), sharpe(timed).alias("sharpe_timed"),
+    )
+    return out.where(f"n_hot >= {fewest} AND n_calm >= {fewest}")
+
+
+@query("regime_study_by_name", f"""WITH RECURSIVE {STUDY} SELECT code, n_hot, n_calm, {r('fwd_hot')} AS fwd_hot, {r('fwd_calm')} AS fwd_calm, {r('sharpe_hold')} AS sharpe_hold, {r('sharpe_timed')} AS sharpe_timed FROM study""")
+def _(spark, sf):
+    return regime_study(regimes(spark, sf)).select("code", "n_hot", "n_calm", *[r6(c).alias(c) for c in ("fwd_hot", "fwd_calm", "sharpe_hold", "sharpe_timed")])
+
+
+@query("regime_study_pooled", f"""WITH RECURSIVE {STUDY} SELECT count(*) AS names, {r('avg(fwd_calm)')} AS fwd_calm, {r('avg(fwd_hot)')} AS fwd_hot, {r('avg((fwd_hot < fwd_calm)::INT)')} AS leaving_helps,
+  {r('avg(sharpe_hold)')} AS sharpe_hold, {r('avg(sharpe_timed)')} AS sharpe_timed, {r('avg((sharpe_timed > sharpe_hold)::INT)')} AS timing_wins FROM study""")
+def _(spark, sf):
+    s = regime_study(regimes(spark, sf))
+    share = lambda c: F.avg(c.cast("int"))
+    out = s.agg(
+        F.count(F.lit(1)).alias("names"), F.avg("fwd_calm").alias("fwd_calm"), F.avg("fwd_hot").alias("fwd_hot"), share(F.col("fwd_hot") < F.col("fwd_calm")).alias("leaving_helps"),
+        F.avg("sharpe_hold").alias("sharpe_hold"), F.avg("sharpe_timed").alias("sharpe_timed"), share(F.col("sharpe_timed") > F.col("sharpe_hold")).alias("timing_wins"),
     )
-    return out.select("code", r6("a").alias("fwd_hot"), r6("b").alias("fwd_calm"), r6("s").alias("sharpe_out"))
+    return out.select("names", *[r6(c).alias(c) for c in out.columns if c != "names"])
 
 
 BLK = GR + """, blk AS (SELECT code, pos // 5 AS block, sum(lret * lret) AS rv, avg(sign(lret)) AS mean_sign FROM gr GROUP BY code, pos // 5 HAVING count(*) = 5)"""

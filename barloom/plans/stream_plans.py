@@ -104,7 +104,7 @@ def _pdf(x, j):
  SELECT code, ts, {r('prior')} AS prior FROM h""")
 def _(spark, sf):
     d = _ordered(spark, sf).withColumn("x", F.col("price") / 1000)
-    p = rec.regime_filter(d, "code", "pos", "x", MEANS, VARS, TRANS, START)
+    p = rec.regime_filter(d, "code", "pos", "x", MEANS, VARS, TRANS, START, levels=2)
     return p.select("code", "ts", r6(_prior(p, "p_1")).alias("prior"))
 
 
