@@ -75,21 +75,6 @@ def resample(a: Column, length: int, points: int) -> Column:
     return F.array(*out)
 
 
-def quantiles_linear(a: Column, probs: list[float]) -> Column:
-    """Linear-interpolated quantiles of an array; one native sort, then look-ups."""
-
-    def from_sorted(s: Column) -> Column:
-        out = []
-        for p in probs:
-            at = (F.size(s) - 1) * F.lit(float(p))
-            k = F.floor(at).cast("int")
-            lo, hi = F.element_at(s, k + 1), F.element_at(s, F.least(k + 2, F.size(s)))
-            out.append(lo + (hi - lo) * (at - k))
-        return F.array(*out)
-
-    return let(F.sort_array(a), from_sorted)
-
-
 def pinball(q: Column, y: Column, level: Column) -> Column:
     d = y - q
     return F.when(d >= 0, level * d).otherwise((level - 1.0) * d)

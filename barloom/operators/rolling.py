@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrays import quantiles_linear
 from ..functions.columns import col, log_return
 from .clock import Clock
+from .orderstats import Quantiles, rolling_quantiles
 
 ANNUAL = 252
 
@@ -125,17 +125,15 @@ def vol_change(c: Clock, ret: str, short: int, long: int) -> tuple[Column, Colum
     return r - 1, F.abs(F.log(r))
 
 
-def rolling_quantile(c: Clock, x: str, n: int, probs: list[float], lag: int = 0, min_obs: int | None = None) -> Column:
-    """Trailing quantiles as an array. The frame is collected and sorted natively, which is several times
-    faster than the percentile aggregate rebuilt for every row."""
-    w = c.back(n, lag)
-    return F.when(F.count(x).over(w) >= (min_obs or n), quantiles_linear(F.collect_list(x).over(w), probs))
+def rolling_quantile(df: DataFrame, c: Clock, x: str, n: int, probs: list[float], lag: int = 0, min_obs: int | None = None, out: str = "q") -> DataFrame:
+    """Trailing quantiles as an array column (see orderstats)."""
+    return rolling_quantiles(df, c, [Quantiles(out, x, n, tuple(probs), lag, min_obs)])
 
 
-def relative_volume(c: Clock, volume: str, n: int = 20) -> Column:
+def relative_volume(df: DataFrame, c: Clock, volume: str, n: int = 20, out: str = "rel") -> DataFrame:
     """Volume over the median of the n previous ticks."""
-    base = rolling_quantile(c, volume, n, [0.5], lag=1)[0]
-    return F.when(base > 0, F.col(volume) / base)
+    base = F.col("__q")[0]
+    return rolling_quantile(df, c, volume, n, [0.5], lag=1, out="__q").withColumn(out, F.when(base > 0, F.col(volume) / base)).drop("__q")
 
 
 def overnight_intraday(c: Clock) -> tuple[Column, Column]:

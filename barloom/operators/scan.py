@@ -15,15 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 #: A block's matrix, row by row: where the belief goes that was surely in this state, and the log of its likelihood.
 ROW = "struct<v:array<double>,s:double>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _normal(u: Column, k: int, scale: Column) -> Column:
     """(u / sum of u, scale + log of the sum)."""
     total = lambda u: sum((F.get(u, F.lit(j)) for j in range(1, k)), F.get(u, F.lit(0)))

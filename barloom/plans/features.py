@@ -9,6 +9,7 @@ from ..functions.columns import r6
 from ..operators import rolling as ro
 from ..operators.align import nearest_within
 from ..operators.clock import Clock, with_calendar
+from ..operators.orderstats import Quantiles, expanding_quantiles
 from ..sources import tables as t
 from . import query
 from . import sqltext as q
@@ -53,13 +54,14 @@ feature("roll_minobs_mean", {"mean252": full("avg(close)", "close", 252, 1, 40),
         CAL, "cald", pos="cal")
 
 feature("roll_quantile", {"q70": "CASE WHEN count(vol) OVER (k RANGE BETWEEN 251 PRECEDING AND CURRENT ROW) >= 20 THEN quantile_cont(vol, 0.7) OVER (k RANGE BETWEEN 251 PRECEDING AND CURRENT ROW) END", "vol": "vol"},
-        lambda spark, sf: t.daily_returns(spark, sf).withColumn("vol", BAR.full(F.stddev_samp, "lret", 20)).withColumn(
-            "q70", ro.rolling_quantile(BAR, "vol", 252, [0.7], 0, 20)[0]),
+        lambda spark, sf: ro.rolling_quantile(
+            t.daily_returns(spark, sf).select("code", "date", "pos", BAR.full(F.stddev_samp, "lret", 20).alias("vol")), BAR, "vol", 252, [0.7], 0, 20).withColumn("q70", F.col("q")[0]),
         q.RETS + f", v AS (SELECT *, {full('stddev_samp(lret)', 'lret', 20)} AS vol FROM rets WINDOW k AS (PARTITION BY code ORDER BY pos))", "v")
 
 feature("expanding_median", {"mean": f"avg(lret) OVER (k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "med": "median(close) OVER (k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"},
-        lambda spark, sf: t.monthly_panel(spark, sf).withColumn("lret", F.log(F.col("close") / MON.at("close", -1))).withColumns(
-            {"mean": F.avg("lret").over(MON.to_date(1)), "med": F.percentile("close", F.lit(0.5)).over(MON.to_date(1))}),
+        lambda spark, sf: expanding_quantiles(
+            t.monthly_panel(spark, sf).select("code", "mi", "close").withColumn("lret", F.log(F.col("close") / MON.at("close", -1))).withColumn("mean", F.avg("lret").over(MON.to_date(1))),
+            MON, [Quantiles("q", "close", None, (0.5,), lag=1)]).withColumn("med", F.col("q")[0]),
         q.MONTHLY + f", mm AS (SELECT *, ln(close / max(close) OVER (k {q.frame(-1, -1)})) AS lret FROM monthly WINDOW k AS (PARTITION BY code ORDER BY mi))", "mm", "mi", "mi")
 
 feature("rolling_annualised", {"ann36": "exp(" + full("sum(ln(1 + mret))", "mret", 36) + " * 12.0 / 36) - 1"},
@@ -146,7 +148,7 @@ _v3, _v12 = full("stddev_samp(mret)", "mret", 3), full("stddev_samp(mret)", "mre
 feature("vol_change_ratio", {"vc": f"{_v3} / nullif({_v12}, 0) - 1", "avc": f"CASE WHEN {_v3} > 0 THEN abs(ln({_v3} / nullif({_v12}, 0))) END"},
         lambda spark, sf: monthly_signals(spark, sf).withColumns(dict(zip(("vc", "avc"), ro.vol_change(MON, "mret", 3, 12)))), q.MSIG, "msig", "mi", "mi")
 
-feature("relative_volume", {"rel": f"volume / {full('median(volume)', 'volume', 20, 1)}"}, daily(lambda c: {"rel": ro.relative_volume(c, "volume")}))
+feature("relative_volume", {"rel": f"volume / {full('median(volume)', 'volume', 20, 1)}"}, lambda spark, sf: ro.relative_volume(t.daily_returns(spark, sf).select("code", "date", "pos", "volume"), BAR, "volume"))
 
 feature("overnight_intraday", {"onight": "ln(open / prev)", "intra": "ln(close / open)", "total_var": "power(ln(open / prev), 2) + power(ln(close / open), 2)"},
         lambda spark, sf: t.daily_returns(spark, sf).withColumns(dict(zip(("onight", "intra"), ro.overnight_intraday(BAR)))).withColumn(

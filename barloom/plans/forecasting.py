@@ -85,7 +85,7 @@ EQ = GR + f""", eb AS (SELECT code, pos, date, quantile_cont(lret, [0.05, 0.25,
 
 def empirical(spark, sf):
     d = gapless_returns(spark, sf).select("code", "pos", "date", "lret")
-    return d.withColumn("base", fo.empirical_base(BAR, "lret", 100, LV))
+    return fo.empirical_base(d, BAR, "lret", 100, LV)
 
 
 @query("empirical_quantiles", f"WITH {EQ} SELECT code, pos, {', '.join(f'{r(f'(q[{i + 1}] - m) * sqrt(5.0)')} AS q{round(p * 100)}' for i, p in enumerate(LV))} FROM eb")

@@ -100,8 +100,8 @@ _w252 = "(k RANGE BETWEEN 251 PRECEDING AND CURRENT ROW)"
  SELECT code, date, coalesce(lag(on_) OVER (PARTITION BY code ORDER BY pos), false) AS held FROM g""")
 def _(spark, sf):
     d = macd_panel(spark, sf).withColumn("vol", BAR.full(F.stddev_samp, "lret", 20))
-    thr = ro.rolling_quantile(BAR, "vol", 252, [0.5], 0, 20)[0]
-    d = d.withColumn("on", F.col("macd_state") & F.coalesce(F.col("vol") >= thr, F.lit(False)))
+    d = ro.rolling_quantile(d.select("code", "pos", "date", "macd_state", "vol"), BAR, "vol", 252, [0.5], 0, 20)
+    d = d.withColumn("on", F.col("macd_state") & F.coalesce(F.col("vol") >= F.col("q")[0], F.lit(False)))
     return d.select("code", "date", F.lag("on", 1, False).over(BAR.ordered).alias("held"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..operators import recursion as rec
 from ..sources import tables as t
-from ..streaming import bars
+from ..streaming import bars, ordered, state
 from . import query
 from . import sqltext as q
 from .recursions import MEANS, START, TRANS, VARS, ewma_sql
@@ -20,14 +18,20 @@ def _source(spark, sf):
     return bars.tick_stream(spark, f"{sf}/events.parquet")
 
 
-def _ordered(spark, sf):
-    """All ticks that the stream delivered, with their place in the event-time order of their code."""
-    ticks = bars.run_parts(_source(spark, sf), lambda b: b.select("code", "ts", "event_id", "price"))
-    return ticks.withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy("ts", "event_id")) - 1)
+DELAY = "73000 days"  # a backlog in any order: every row is in time, and the closing row releases all of them
 
 
-def _prior(df, value):
-    return F.lag(value).over(Window.partitionBy("code").orderBy("pos"))
+def _feed(spark, sf):
+    """The event table as shuffled files, and its ticks as a stream that takes two files a batch."""
+    feed = ordered.stage_shuffled(spark, f"{sf}/events.parquet")
+    return feed, bars.tick_stream(spark, feed, files_per_trigger=2).withWatermark("ts", DELAY)
+
+
+def _prior(spark, sf, step):
+    """What ``step`` knew before each tick."""
+    feed, ticks = _feed(spark, sf)
+    d = ordered.drain_closed(spark, feed, ordered.ordered_state(ticks, "code", "ts", "price", step, tie="event_id"), "73400 days")
+    return d.select("code", "ts", r6("prior").alias("prior"))
 
 
 def _bar_sql(length: str, starts: str) -> str:
@@ -89,8 +93,7 @@ TK = "WITH tk AS (SELECT event_type AS code, ts, value AS price, row_number() OV
 
 @query("stream_ewma_state", f"{TK}, e AS (SELECT code, ts, pos, {ewma_sql('price', 0.94)} AS v FROM tk) SELECT code, ts, {r('lag(v) OVER (PARTITION BY code ORDER BY pos)')} AS prior FROM e")
 def _(spark, sf):
-    d = rec.ewma(_ordered(spark, sf), ["code"], "pos", [("v", F.col("price"), 0.94)])
-    return d.select("code", "ts", r6(_prior(d, "v")).alias("prior"))
+    return _prior(spark, sf, state.ewma_step(0.94))
 
 
 def _pdf(x, j):
@@ -103,9 +106,8 @@ def _pdf(x, j):
      (z.f0 * ((1 - h.p) * {TRANS[0][0]} + h.p * {TRANS[1][0]}) + z.f1 * ((1 - h.p) * {TRANS[0][1]} + h.p * {TRANS[1][1]})), h.p FROM h JOIN z ON z.code = h.code AND z.pos = h.pos + 1)
  SELECT code, ts, {r('prior')} AS prior FROM h""")
 def _(spark, sf):
-    d = _ordered(spark, sf).withColumn("x", F.col("price") / 1000)
-    p = rec.regime_filter(d, "code", "pos", "x", MEANS, VARS, TRANS, START, levels=2)
-    return p.select("code", "ts", r6(_prior(p, "p_1")).alias("prior"))
+    step = state.regime_step(MEANS, VARS, TRANS, START)
+    return _prior(spark, sf, lambda v, x: step(v, x / 1000))
 
 
 BARTK = """WITH x AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS w_start, ts, value FROM events), b AS (SELECT code, w_start + INTERVAL '30 minutes' AS w_end, arg_max(value, ts) AS price FROM x GROUP BY code, w_start),
@@ -115,6 +117,7 @@ BARTK = """WITH x AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minute
 @query("stream_bar_ewma_state", f"{BARTK}, e AS (SELECT code, ts, pos, {ewma_sql('price', 0.94)} AS v FROM tk) SELECT code, ts, {r('lag(v) OVER (PARTITION BY code ORDER BY pos)')} AS prior FROM e")
 def _(spark, sf):
     """Bars first, then state: a hot code reaches the state as one row per bar."""
-    b = _bars(spark, sf, "30 minutes").withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy("end")) - 1)
-    d = rec.ewma(b, ["code"], "pos", [("v", F.col("close"), 0.94)])
-    return d.select("code", F.col("end").alias("ts"), r6(_prior(d, "v")).alias("prior"))
+    feed, ticks = _feed(spark, sf)
+    plan = ordered.ordered_state(ordered.last_of_bars(ticks, "30 minutes"), "code", "ts", "price", state.ewma_step(0.94))
+    d = ordered.drain_closed(spark, feed, plan, "73400 days")
+    return d.select("code", F.date_trunc("second", F.col("ts") + F.expr("interval 1 millisecond")).alias("ts"), r6("prior").alias("prior"))

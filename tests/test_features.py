@@ -35,13 +35,13 @@ def to_spark(spark, pdf):
 
 FEATURES = {
     "roll": lambda d: d.withColumn("y", BAR.full(F.stddev_samp, "lret", 20)),
-    "quantile": lambda d: d.withColumn("y", ro.rolling_quantile(BAR, "lret", 60, [0.7], 0, 20)[0]),
+    "quantile": lambda d: ro.rolling_quantile(d, BAR, "lret", 60, [0.7], 0, 20).withColumn("y", F.col("q")[0]),
     "mom": lambda d: d.withColumn("y", ro.momentum(BAR, "close", 12, 1)),
     "vol_state": lambda d: d.withColumn("y", ro.vol_state(BAR, "lret")),
     "z": lambda d: d.withColumn("y", ro.zscore(BAR, "close", 20)),
     "channel": lambda d: ro.channel(d, BAR, "lp", 40).withColumn("y", F.col("upper")),
     "er": lambda d: d.withColumn("y", ro.efficiency_ratio(BAR, "close", 20)),
-    "relvol": lambda d: d.withColumn("y", ro.relative_volume(BAR, "volume")),
+    "relvol": lambda d: ro.relative_volume(d, BAR, "volume", out="y"),
     "cs": lambda d: ro.corwin_schultz(d, BAR, 20).withColumn("y", F.col("cs_spread")),
     "macd": lambda d: rec.macd(d, "code", "pos", "close").withColumn("y", F.col("macd_hist")),
     "gate": lambda d: rec.macd(d, "code", "pos", "close").withColumn("y", F.col("macd_long").cast("double")),
