@@ -95,102 +95,6 @@ def opening_breakout(df: DataFrame, keys: list[str], bars: int = 3, box_bars: in
     return out.where("risk > 0")
 
 
-FADE_SCHEMA = (
-    "stage string, side string, pattern string, entry_bar int, entry double, stop double, target double, "
-    "exit_bar int, exit double, reason string, gross double, r_multiple double, mae double, mfe double"
-)
-
-
-def _fade_session(o, h, l, c, bars, box_bars, wick_body, wick_min, opp_max, stop_mult, trail_frac):
-    """One session of the opening-range fade, mirrored so that it always reads as a short."""
-    if len(o) < bars + 2:
-        return dict(stage="no_box")
-    short = c[bars - 1] > o[0]
-    if not short:  # reflect prices: a long fade of a falling box becomes a short fade of a rising one
-        o, h, l, c = -o, -l, -h, -c
-    top, bottom = h[:bars].max(), l[:bars].min()
-    end = min(len(o) - 1, bars + box_bars - 1)
-    down = c < o if not short else c <= o
-    rng, body = h - l, np.abs(c - o)
-    wick, other = h - np.maximum(o, c), np.minimum(o, c) - l
-    reject = down & (rng > 0) & (wick >= wick_body * body) & (wick >= wick_min * rng) & (other <= opp_max * rng)
-    base = dict(side="short" if short else "long")
-
-    def valid(px, stop):
-        return stop > px > bottom
-
-    pick = None
-    for i in range(bars, end + 1):
-        if h[i] <= top:
-            continue
-        if reject[i] and i < end:
-            px = o[i + 1]
-            stop = px + stop_mult * (h[i] - px)
-            if px >= top and valid(px, stop):
-                pick = ("star", i + 1, px, stop)
-                break
-        engulf = i > bars and not down[i - 1] and down[i] and h[i] >= h[i - 1] and l[i] <= l[i - 1]
-        if engulf and l[i - 1] >= top:
-            level = l[i - 1]
-            fills = [j for j in range(i + 1, end + 1) if l[j] <= level]
-            if not fills:
-                return dict(stage="no_fill", pattern="engulf", **base)
-            px = min(o[fills[0]], level)
-            stop = px + stop_mult * (h[i] - px)
-            pick = ("engulf", fills[0], px, stop) if valid(px, stop) else None
-            break
-    if pick is None:
-        return dict(stage="no_signal")
-    pattern, at, px, stop = pick
-    live, trailed, reason = stop, False, "time"
-    trigger = top - trail_frac * (top - bottom)
-    worst = best = 0.0
-    k, out = end, c[end]
-    for k in range(at, end + 1):
-        worst, best = max(worst, h[k] - px), max(best, px - l[k])
-        if h[k] >= live:
-            out, reason = live, "trail" if trailed else "stop"
-            break
-        if l[k] <= bottom:
-            out, reason = bottom, "target"
-            break
-        if not trailed and l[k] <= trigger:
-            trailed, live = True, top
-    size, risk = abs(px), abs(stop - px)
-    flip = 1.0 if short else -1.0
-    return dict(
-        stage="traded", pattern=pattern, entry_bar=at, entry=flip * px, stop=flip * stop, target=flip * bottom, exit_bar=k, exit=flip * out,
-        reason=reason, gross=(px - out) / size, r_multiple=(px - out) / risk, mae=worst / size, mfe=best / size, **base,
-    )
-
-
-def opening_fade(df: DataFrame, keys: list[str], bars: int = 3, box_bars: int = 15, order: str = "bar_no", trail_frac: float = 0.5,
-                 params: dict[str, Column] | None = None) -> DataFrame:
-    """Fade of the opening range per session with a rejection or engulfing trigger.
-
-    Stops are assumed to fill before targets in one bar; after retracing ``trail_frac`` of the box the
-    stop moves to the near edge from the next bar on (0.5 reproduces the midpoint rule). ``params``
-    overrides wick_body, wick_min, opp_max, stop_mult per row so a sweep is one keyed job.
-    """
-    defaults = {"wick_body": 2.0, "wick_min": 0.5, "opp_max": 0.10, "stop_mult": 1.0, "box": float(box_bars)}
-    d = df.withColumns({f"__{k}": (params or {}).get(k, F.lit(v)).cast("double") for k, v in defaults.items()})
-    key_fields = [d.schema[k] for k in keys]
-    schema = T.StructType(key_fields + T.StructType.fromDDL(FADE_SCHEMA).fields)
-    names = [f.name for f in schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        o, h, l, c = (pdf[x].to_numpy(float) for x in ("open", "high", "low", "close"))
-        p = {k: float(pdf[f"__{k}"].iloc[0]) for k in defaults}
-        row = _fade_session(o, h, l, c, bars, int(p["box"]), p["wick_body"], p["wick_min"], p["opp_max"], p["stop_mult"], trail_frac)
-        row.update({k: pdf[k].iloc[0] for k in keys})
-        out = pd.DataFrame([{n: row.get(n) for n in names}])
-        return out.astype({"entry_bar": "Int32", "exit_bar": "Int32"})
-
-    need = [*keys, order, "open", "high", "low", "close", *[f"__{k}" for k in defaults]]
-    return d.select(*dict.fromkeys(need)).groupBy(*keys).applyInPandas(run, schema)
-
-
 def non_overlapping(trades: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Greedy chain of candidate trades per key: the next one starts after the previous has ended.
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as fc
 from ..functions.columns import r6, year_of
-from ..operators import book, events, metrics, recursion, rolling, trendlines, xsec
+from ..operators import book, events, fades, metrics, recursion, rolling, trendlines, xsec
 from ..operators.aggregate import grid_neighbourhood, with_grid
 from ..operators.clock import Clock, with_position
 from ..sources import tables as t
@@ -120,24 +120,114 @@ def day_bars(spark, sf):
     return with_position(b, SESS, "ts", "bar_no")
 
 
-@query("fade_scalper")
+def daily_ranges(spark, sf):
+    """Mean true range of the 14 sessions before each (the first session has no true range)."""
+    b = t.bars(t.ticks(spark, sf), 60).withColumn("session", F.to_date("ts"))
+    dy = b.groupBy(*SESS).agg(F.max("high").alias("hi"), F.min("low").alias("lo"), F.max_by("close", "ts").alias("cl"))
+    w = Window.partitionBy("code").orderBy("session")
+    before = F.lag("cl").over(w)
+    tr = F.when(before.isNotNull(), F.greatest(F.col("hi") - F.col("lo"), F.abs(F.col("hi") - before), F.abs(F.col("lo") - before)))
+    dy = dy.withColumn("tr", tr)
+    frame = w.rowsBetween(-14, -1)
+    return dy.select(*SESS, F.when(F.count("tr").over(frame) == 14, F.avg("tr").over(frame)).alias("atr"))
+
+
+def gated_day_bars(spark, sf):
+    return day_bars(spark, sf).join(daily_ranges(spark, sf), SESS, "left")
+
+
+def fade_sql(grid: str) -> str:
+    """CTEs up to ``fd``, one row a (grid cell, code, session); ``grid`` selects wi, si, wick, opp, mult."""
+    carry = "wi, si, code, session, i"
+    return q.bars(60) + f""", db AS (SELECT code, CAST(ts AS DATE) AS session, row_number() OVER (PARTITION BY code, CAST(ts AS DATE) ORDER BY ts) - 1 AS i, open AS o, high AS h, low AS l, close AS c FROM bars),
+ dy AS (SELECT code, session, max(h) AS hi, min(l) AS lo, arg_max(c, i) AS cl FROM db GROUP BY code, session),
+ tr AS (SELECT *, CASE WHEN lag(cl) OVER w IS NOT NULL THEN greatest(hi - lo, abs(hi - lag(cl) OVER w), abs(lo - lag(cl) OVER w)) END AS tr FROM dy WINDOW w AS (PARTITION BY code ORDER BY session)),
+ at_ AS (SELECT code, session, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM tr WINDOW w AS (PARTITION BY code ORDER BY session ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
+ gr_ AS ({grid}),
+ sx AS (SELECT code, session, count(*) AS n, CASE WHEN max(c) FILTER (i = 2) > max(o) FILTER (i = 0) OR count(*) < 3 THEN 1 ELSE -1 END AS sg, max(h) FILTER (i < 3) AS hi, min(l) FILTER (i < 3) AS lo, least(count(*) - 1, 17) AS last FROM db GROUP BY code, session),
+ bx AS (SELECT *, CASE WHEN sg = 1 THEN hi ELSE -lo END AS top, CASE WHEN sg = 1 THEN lo ELSE -hi END AS bottom FROM sx),
+ mi_ AS (SELECT db.code, db.session, i, n, sg, last, top, bottom, top - 0.5 * (top - bottom) AS trig, sg * o AS o, CASE WHEN sg = 1 THEN h ELSE -l END AS h, CASE WHEN sg = 1 THEN l ELSE -h END AS l, sg * c AS c,
+    CASE WHEN sg = 1 THEN c <= o ELSE c > o END AS down FROM db JOIN bx USING (code, session)),
+ nb AS (SELECT *, lag(h) OVER k AS bh, lag(l) OVER k AS bl, lag(down) OVER k AS bdown, CASE WHEN i < last THEN lead(o) OVER k END AS nx FROM mi_ WINDOW k AS (PARTITION BY code, session ORDER BY i)),
+ x AS (SELECT nb.*, gr_.*, down AND h > l AND h - greatest(o, c) >= wick * abs(c - o) AND h - greatest(o, c) >= 0.5 * (h - l) AND least(o, c) - l <= opp * (h - l) AS reject,
+    i > 3 AND NOT bdown AND down AND h >= bh AND l <= bl AS engulf FROM nb, gr_ WHERE n >= 5 AND i BETWEEN 3 AND last),
+ st AS (SELECT wi, si, code, session, 2::BIGINT AS i, 0 AS phase, NULL::VARCHAR AS pattern, NULL::DOUBLE AS level, NULL::DOUBLE AS peak, NULL::BIGINT AS at_i, NULL::DOUBLE AS px, NULL::DOUBLE AS stop, NULL::DOUBLE AS live, false AS trailed,
+    NULL::BIGINT AS k, NULL::DOUBLE AS leave, NULL::VARCHAR AS reason, 0.0::DOUBLE AS worst, 0.0::DOUBLE AS best FROM (SELECT DISTINCT wi, si, code, session FROM x)
+  UNION ALL
+  SELECT {carry}, CASE WHEN on_ AND (h >= live OR l <= bottom) THEN 3 ELSE phase END, pattern, level, peak, at_i, px, stop, CASE WHEN moved THEN top ELSE live END, trailed OR moved,
+    CASE WHEN on_ THEN i ELSE k END, CASE WHEN on_ THEN CASE WHEN h >= live THEN live WHEN l <= bottom THEN bottom ELSE c END ELSE leave END,
+    CASE WHEN on_ THEN CASE WHEN h >= live THEN CASE WHEN trailed THEN 'trail' ELSE 'stop' END WHEN l <= bottom THEN 'target' ELSE 'time' END ELSE reason END,
+    CASE WHEN on_ THEN greatest(worst, h - px) ELSE worst END, CASE WHEN on_ THEN greatest(best, px - l) ELSE best END
+  FROM (SELECT *, on_ AND NOT (h >= live) AND NOT (l <= bottom) AND NOT trailed AND l <= trig AS moved FROM (SELECT *, phase = 2 AND i >= at_i AS on_ FROM (
+    SELECT * REPLACE (CASE WHEN star THEN 2 WHEN eng THEN 1 ELSE phase END AS phase, CASE WHEN star THEN 'star' WHEN eng THEN 'engulf' ELSE pattern END AS pattern, CASE WHEN eng THEN bl ELSE level END AS level,
+        CASE WHEN eng THEN h ELSE peak END AS peak, CASE WHEN star THEN i + 1 ELSE at_i END AS at_i, CASE WHEN star THEN nx ELSE px END AS px,
+        CASE WHEN star THEN nx + mult * (h - nx) ELSE stop END AS stop, CASE WHEN star THEN nx + mult * (h - nx) ELSE live END AS live)
+    FROM (SELECT *, phase = 0 AND h > top AND NOT star AND engulf AND bl >= top AS eng FROM (
+      SELECT *, coalesce(phase = 0 AND h > top AND reject AND nx >= top AND nx + mult * (h - nx) > nx AND nx > bottom, false) AS star FROM (
+        SELECT * REPLACE (CASE WHEN good THEN 2 WHEN hit THEN 4 ELSE phase END AS phase, CASE WHEN good THEN i ELSE at_i END AS at_i, CASE WHEN good THEN fp ELSE px END AS px,
+            CASE WHEN good THEN fp + mult * (peak - fp) ELSE stop END AS stop, CASE WHEN good THEN fp + mult * (peak - fp) ELSE live END AS live)
+        FROM (SELECT *, hit AND fp + mult * (peak - fp) > fp AND fp > bottom AS good FROM (
+          SELECT x.*, phase, pattern, level, peak, at_i, px, stop, live, trailed, k, leave, reason, worst, best, phase = 1 AND l <= level AS hit, least(o, level) AS fp
+          FROM st JOIN x ON x.wi = st.wi AND x.si = st.si AND x.code = st.code AND x.session = st.session AND x.i = st.i + 1))))))))),
+ en AS (SELECT st.* FROM st JOIN bx ON st.code = bx.code AND st.session = bx.session AND st.i = bx.last),
+ f0 AS (SELECT gr_.wi, gr_.si, bx.code, bx.session, bx.sg, bx.top, bx.bottom, atr, CASE WHEN n < 5 THEN 'no_box' WHEN NOT coalesce(atr > 0, false) THEN 'no_atr' WHEN phase IN (2, 3) THEN 'traded' WHEN phase = 1 THEN 'no_fill' ELSE 'no_signal' END AS stage,
+    en.* EXCLUDE (wi, si, code, session) FROM bx CROSS JOIN gr_ LEFT JOIN at_ USING (code, session) LEFT JOIN en ON en.wi = gr_.wi AND en.si = gr_.si AND en.code = bx.code AND en.session = bx.session),
+ fd AS (SELECT wi, si, code, session, stage, CASE WHEN stage IN ('traded', 'no_fill') THEN CASE WHEN sg = 1 THEN 'short' ELSE 'long' END END AS side, CASE WHEN stage IN ('traded', 'no_fill') THEN pattern END AS pattern,
+    CASE WHEN stage = 'traded' THEN at_i END AS entry_bar, CASE WHEN stage = 'traded' THEN k END AS exit_bar, CASE WHEN stage = 'traded' THEN reason END AS reason, CASE WHEN stage = 'traded' THEN sg * px END AS entry,
+    CASE WHEN stage = 'traded' THEN sg * leave END AS exit, CASE WHEN stage = 'traded' THEN (px - leave) / abs(px) END AS gross, CASE WHEN stage = 'traded' THEN (px - leave) / abs(stop - px) END AS r_multiple,
+    CASE WHEN stage = 'traded' THEN worst / abs(px) END AS mae, CASE WHEN stage = 'traded' THEN best / abs(px) END AS mfe, CASE WHEN stage = 'traded' THEN abs(stop - px) / abs(px) END AS risk,
+    CASE WHEN stage NOT IN ('no_box', 'no_atr') THEN (top - bottom) / atr END AS liq_ratio FROM f0)"""
+
+
+FADE_OUT = ("entry", "exit", "gross", "r_multiple", "mae", "mfe", "liq_ratio")
+
+
+@query("fade_scalper", f"""WITH RECURSIVE {fade_sql("SELECT 0 AS wi, 0 AS si, 0.5::DOUBLE AS wick, 0.4::DOUBLE AS opp, 1.0::DOUBLE AS mult")}
+ SELECT code, session, stage, side, pattern, entry_bar, exit_bar, reason, {', '.join(f'{r(c)} AS {c}' for c in FADE_OUT)} FROM fd""")
 def _(spark, sf):
-    d = events.opening_fade(day_bars(spark, sf), SESS, 3, 15)
-    return d.select("code", "session", "stage", "side", "pattern", "entry_bar", "exit_bar", "reason", *[r6(c).alias(c) for c in ("entry", "exit", "gross", "r_multiple", "mae", "mfe")])
+    params = {"wick_body": F.lit(0.5), "opp_max": F.lit(0.4)}
+    d = fades.opening_fade(gated_day_bars(spark, sf), SESS, 3, 15, params=params, atr=F.col("atr"))
+    bar_no = lambda c: F.col(c).cast("long").alias(c)
+    return d.select(*SESS, "stage", "side", "pattern", bar_no("entry_bar"), bar_no("exit_bar"), "reason", *[r6(c).alias(c) for c in FADE_OUT])
+
+
+WICKS, STOPS, LIQUID, COST_BPS = [0.5, 1.0, 2.0], [1.0, 1.5, 2.0], [0.0, 0.25, 0.5, 0.75], 5.0
+FADE_GRID = "SELECT wi, si, ([0.5, 1.0, 2.0])[wi + 1]::DOUBLE AS wick, 0.4::DOUBLE AS opp, ([1.0, 1.5, 2.0])[si + 1]::DOUBLE AS mult FROM (SELECT unnest(range(3)) AS wi), (SELECT unnest(range(3)) AS si)"
+
+
+def fade_grid(spark, sf):
+    """All sessions at each wick and stop of the grid, in one keyed job."""
+    d = with_grid(gated_day_bars(spark, sf), wi=[0, 1, 2], si=[0, 1, 2])
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(at) + 1)
+    params = {"wick_body": pick(WICKS, "wi"), "opp_max": F.lit(0.4), "stop_mult": pick(STOPS, "si")}
+    return fades.opening_fade(d, ["wi", "si", *SESS], 3, 15, params=params, atr=F.col("atr")).where("stage = 'traded'")
 
 
-@query("fade_parameter_sweep")
+@query("fade_parameter_sweep", f"""WITH RECURSIVE {fade_sql(FADE_GRID)}, ce AS (SELECT wi, si, count(*) AS n, avg(r_multiple) AS avg_r FROM fd WHERE stage = 'traded' GROUP BY wi, si)
+ SELECT a.wi, a.si, any_value(a.n) AS n, {r('any_value(a.avg_r)')} AS avg_r, {r('min(b.avg_r)')} AS nb_min, {r('max(b.avg_r)')} AS nb_max, {r('avg(b.avg_r)')} AS nb_mean, count(*) AS nb_n
+ FROM ce a JOIN ce b ON abs(a.wi - b.wi) <= 1 AND abs(a.si - b.si) <= 1 GROUP BY a.wi, a.si""")
 def _(spark, sf):
-    """Wick x stop grid in one keyed job, best cell and its grid neighbourhood."""
-    d = with_grid(day_bars(spark, sf), wi=[0, 1, 2], si=[0, 1, 2])
-    params = {"wick_body": F.element_at(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)), F.col("wi") + 1), "opp_max": F.lit(0.4),
-              "stop_mult": F.element_at(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0)), F.col("si") + 1)}
-    tr = events.opening_fade(d, ["wi", "si", *SESS], 3, 15, params=params).where("stage = 'traded'")
-    cells = tr.groupBy("wi", "si").agg(F.count(F.lit(1)).alias("n"), F.avg("r_multiple").alias("avg_r"))
+    """Wick x stop grid in one keyed job, and the grid neighbourhood of each cell."""
+    cells = fade_grid(spark, sf).groupBy("wi", "si").agg(F.count(F.lit(1)).alias("n"), F.avg("r_multiple").alias("avg_r"))
     from ..session import materialise
 
     nb = grid_neighbourhood(materialise(cells), ["wi", "si"], "avg_r")  # nine cells, written once
-    return nb.select("wi", "si", "n", *[r6(c).alias(c) for c in ("avg_r", "nb_min", "nb_max", "nb_mean")], "nb_n")
+    return nb.select(*[F.col(k).cast("long").alias(k) for k in ("wi", "si")], "n", *[r6(c).alias(c) for c in ("avg_r", "nb_min", "nb_max", "nb_mean")], "nb_n")
+
+
+_net = f"(gross - {COST_BPS} / 10000) / risk"
+LIQ = f""", lq AS (SELECT unnest({LIQUID}::DOUBLE[]) AS thr), ls AS (SELECT wi, si, thr, count(*) AS n, avg((gross > {COST_BPS} / 10000)::INT) AS win, avg({_net}) AS net_r FROM fd JOIN lq ON liq_ratio >= thr WHERE stage = 'traded' GROUP BY wi, si, thr)"""
+
+
+@query("fade_liquidity_sweep", f"""WITH RECURSIVE {fade_sql(FADE_GRID)}{LIQ} SELECT wi, si, thr, n, {r('win')} AS win, {r('net_r')} AS net_r, thr = first_value(thr) OVER (PARTITION BY wi, si ORDER BY net_r DESC, thr) AS best FROM ls""")
+def _(spark, sf):
+    """Expectancy after cost for each least height of the box over the range; the best threshold of each cell."""
+    d = fade_grid(spark, sf).withColumn("thr", F.explode(F.filter(F.array(*[F.lit(v) for v in LIQUID]), lambda v: F.col("liq_ratio") >= v)))
+    cost = F.lit(COST_BPS / 10000)
+    risk = F.abs(F.col("stop") - F.col("entry")) / F.abs(F.col("entry"))
+    s = d.groupBy("wi", "si", "thr").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gross") > cost).cast("int")).alias("win"), F.avg((F.col("gross") - cost) / risk).alias("net_r"))
+    first = F.first("thr").over(Window.partitionBy("wi", "si").orderBy(F.desc("net_r"), "thr"))  # a few thresholds
+    return s.select(*[F.col(k).cast("long").alias(k) for k in ("wi", "si")], "thr", "n", r6("win").alias("win"), r6("net_r").alias("net_r"), (F.col("thr") == first).alias("best"))
 
 
 # best cell per metric and its +-1 neighbourhood, on a grid SQL can evaluate
