@@ -9,6 +9,7 @@ from ..functions.columns import month_index, r6, year_of
 from ..operators import resampling as rs
 from ..operators import rolling, stats, xsec
 from ..operators.clock import Clock, with_position
+from ..operators.replicas import correlation, draw_sql, follow_the_mean, moments_with, permuted_sums
 from ..session import materialise
 from ..sources import tables as t
 from . import query
@@ -260,33 +261,31 @@ def mean_rule(part: str) -> str:
     return f"""CASE WHEN avg(x) OVER (PARTITION BY {part} ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) > 0 THEN x ELSE 0 END"""
 
 
-@query("permutation_null", f"""WITH {GR}, rp AS (SELECT rep, code, pos, lret FROM gr, (SELECT unnest(range(5)) AS rep)),
- sl AS (SELECT *, row_number() OVER (PARTITION BY rep, code ORDER BY pos) AS slot, row_number() OVER (PARTITION BY rep, code ORDER BY {h_sql('7', 'rep', "code || '|' || pos")}, pos) AS pick FROM rp),
+REPLICAS = 200
+
+
+@query("permutation_null", f"""WITH {GR}, rp AS (SELECT rep, code, pos, lret FROM gr, (SELECT unnest(range({REPLICAS})) AS rep)),
+ sl AS (SELECT *, row_number() OVER (PARTITION BY rep, code ORDER BY pos) AS slot, row_number() OVER (PARTITION BY rep, code ORDER BY {draw_sql(7, 'rep', 'code', 'pos')}, pos) AS pick FROM rp),
  pm AS (SELECT a.rep, a.code, a.pos, b.lret AS x FROM sl a JOIN sl b ON a.rep = b.rep AND a.code = b.code AND a.slot = b.pick),
  nl AS (SELECT rep, avg(s) AS stat FROM (SELECT rep, {mean_rule('rep, code')} AS s FROM pm) GROUP BY rep), ob AS (SELECT avg(s) AS obs FROM (SELECT {mean_rule('code')} AS s FROM (SELECT code, pos, lret AS x FROM gr)))
  SELECT rep, {r('stat')} AS stat, {r('obs')} AS observed, stat >= obs AS beats FROM nl, ob""")
 def _(spark, sf):
     base = gapless_returns(spark, sf).select("code", "pos", "lret")
-    perm = rs.permute_within(rs.with_replicas(base, 5), ["code"], "pos", "lret", 7, out="x")
-
-    def rule(d, keys):
-        w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-5, -1)
-        return d.withColumn("s", F.when(F.avg("x").over(w) > 0, F.col("x")).otherwise(0.0))
-
-    null = rule(perm, ["rep", "code"]).groupBy("rep").agg(F.avg("s").alias("stat"))
-    obs = rule(base.withColumnRenamed("lret", "x"), ["code"]).agg(F.avg("s").alias("obs"))
+    null = permuted_sums(base, "code", "pos", "lret", follow_the_mean(5), ["s", "n"], REPLICAS, 7).select("rep", (F.col("s") / F.col("n")).alias("stat"))
+    before = F.avg("lret").over(Window.partitionBy("code").orderBy("pos").rowsBetween(-5, -1))
+    obs = base.select(F.when(before > 0, F.col("lret")).otherwise(0.0).alias("s")).agg(F.avg("s").alias("obs"))
     d = null.join(F.broadcast(obs))
-    return d.select(F.col("rep").cast("long").alias("rep"), r6("stat").alias("stat"), r6("obs").alias("observed"), (F.col("stat") >= F.col("obs")).alias("beats"))
+    return d.select("rep", r6("stat").alias("stat"), r6("obs").alias("observed"), (F.col("stat") >= F.col("obs")).alias("beats"))
 
 
-@query("label_permutation", f"""WITH {q.MSIG}, v AS (SELECT rep, code, mi, mom, fret FROM msig, (SELECT unnest(range(20)) AS rep) WHERE mom IS NOT NULL AND fret IS NOT NULL),
- sl AS (SELECT *, row_number() OVER (PARTITION BY rep, mi ORDER BY code) AS slot, row_number() OVER (PARTITION BY rep, mi ORDER BY {h_sql('11', 'rep', "mi || '|' || code")}, code) AS pick FROM v),
+@query("label_permutation", f"""WITH {q.MSIG}, v AS (SELECT rep, code, mi, mom, fret FROM msig, (SELECT unnest(range({REPLICAS})) AS rep) WHERE mom IS NOT NULL AND fret IS NOT NULL),
+ sl AS (SELECT *, row_number() OVER (PARTITION BY rep, mi ORDER BY code) AS slot, row_number() OVER (PARTITION BY rep, mi ORDER BY {draw_sql(11, 'rep', 'mi', 'code')}, code) AS pick FROM v),
  pm AS (SELECT a.rep, a.mom, b.fret FROM sl a JOIN sl b ON a.rep = b.rep AND a.mi = b.mi AND a.slot = b.pick), nl AS (SELECT rep, corr(mom, fret) AS c FROM pm GROUP BY rep), ob AS (SELECT corr(mom, fret) AS c FROM v WHERE rep = 0)
  SELECT {r('any_value(ob.c)')} AS observed, {r('avg(nl.c)')} AS null_mean, {r('stddev_pop(nl.c)')} AS null_sd, {r('(any_value(ob.c) - avg(nl.c)) / stddev_pop(nl.c)', 4)} AS z, {r('max(abs(nl.c))')} AS null_max FROM nl, ob""")
 def _(spark, sf):
     v = monthly_signals(spark, sf).where("mom IS NOT NULL AND fret IS NOT NULL").select("code", "mi", "mom", "fret")
-    perm = rs.permute_within(rs.with_replicas(v, 20), ["mi"], "code", "fret", 11, out="pf", splits=splits(spark, sf))
-    null = perm.groupBy("rep").agg(F.corr("mom", "pf").alias("c"))
+    sums = permuted_sums(v, "mi", "code", "fret", moments_with("mom"), ["n", "x", "xx", "y", "yy", "xy"], REPLICAS, 11, fixed=("mom",))
+    null = sums.select("rep", correlation().alias("c"))
     d = null.agg(F.avg("c").alias("m"), F.stddev_pop("c").alias("s"), F.max(F.abs("c")).alias("mx")).join(F.broadcast(v.agg(F.corr("mom", "fret").alias("o"))))
     return d.select(r6("o").alias("observed"), r6("m").alias("null_mean"), r6("s").alias("null_sd"), r6((F.col("o") - F.col("m")) / F.col("s"), 4).alias("z"), r6("mx").alias("null_max"))
 
