@@ -121,7 +121,7 @@ def blended_book(targets: DataFrame, alpha: float, key: str = "code", step: str
     each pass fixes at least one more, and the error shrinks geometrically, so only the short (step, g)
     table travels between passes and no task ever sees the whole book.
 
-    Returns (key, step, w) for every step at or after a name's first target.
+    Returns (key, step, w) for every step at or after a name's first target; raises if g does not come to rest.
     """
     from ..session import materialise
 
@@ -149,8 +149,8 @@ def blended_book(targets: DataFrame, alpha: float, key: str = "code", step: str
         moved = max(abs(new[s] - g[s]) for s in new)
         g = new
         if moved <= tol:
-            break
-    return d.select(key, step, F.col("__w").alias(weight))
+            return d.select(key, step, F.col("__w").alias(weight))
+    raise RuntimeError(f"the gross of a step still moves by {moved} after {max_passes} passes")
 
 
 def carry_rebalance(df: DataFrame, key: str, step: str, value: Column, every: int, first: int) -> Column:

@@ -29,17 +29,25 @@ def gram(xs: list[Column], y: Column, over: WindowSpec | None = None) -> Column:
 
 
 def _solve_batch(flat: np.ndarray, p: int) -> np.ndarray:
-    """Solve many small symmetric systems at once; singular ones fall back to the minimum-norm solution."""
+    """Solve many small symmetric systems at once; each singular one, for itself, by its minimum-norm solution."""
     m = p * (p + 1) // 2
     upper = np.zeros((len(flat), p, p))
     i, j = np.triu_indices(p)
     upper[:, i, j] = flat[:, :m]
     a = upper + np.triu(upper, 1).transpose(0, 2, 1)
     rhs = flat[:, m:, None]
-    try:
-        return np.linalg.solve(a, rhs)[:, :, 0]
-    except np.linalg.LinAlgError:
-        return np.stack([np.linalg.lstsq(x, y, rcond=None)[0][:, 0] for x, y in zip(a, rhs)])
+    # sums of products of one scale, so that the rank does not depend on the units of a regressor
+    scale = np.sqrt(np.where(np.einsum("kii->ki", a) > 0, np.einsum("kii->ki", a), 1.0))
+    unit = a / scale[:, :, None] / scale[:, None, :]
+    regular = np.isfinite(unit).all(axis=(1, 2))
+    regular[regular] = np.linalg.matrix_rank(unit[regular], hermitian=True) == p
+    out = np.full((len(flat), p), np.nan)
+    if regular.any():
+        out[regular] = (np.linalg.solve(unit[regular], rhs[regular] / scale[regular][:, :, None])[:, :, 0]) / scale[regular]
+    for k in np.flatnonzero(~regular):
+        if np.isfinite(a[k]).all() and np.isfinite(rhs[k]).all():
+            out[k] = np.linalg.lstsq(a[k], rhs[k], rcond=None)[0][:, 0]
+    return out
 
 
 def solve_gram(g: Column, features: int) -> Column:

@@ -506,8 +506,9 @@ def _(spark, sf):
   FROM rets JOIN symbols USING (code) GROUP BY 1""")
 def _(spark, sf):
     d = t.daily_returns(spark, sf).join(t.symbols(spark, sf).select("code", "currency"), "code").withColumn("yr", year_of("date"))
-    out = d.groupBy("yr").pivot("currency", ["GBX", "USD"]).agg(F.avg("lret"))
-    return out.select("yr", r6("GBX").alias("gbx"), r6("USD").alias("usd"))
+    currencies = [x["currency"] for x in t.symbols(spark, sf).select("currency").distinct().orderBy("currency").collect()]
+    out = d.groupBy("yr").pivot("currency", currencies).agg(F.avg("lret"))
+    return out.select("yr", *[r6(c).alias(c.lower()) for c in currencies])
 
 
 @query("distinct_and_switches", f"""WITH {q.MSIG}, p AS (SELECT mi, arg_max(code, mom) AS pick FROM (SELECT * FROM msig WHERE mom IS NOT NULL) GROUP BY mi)

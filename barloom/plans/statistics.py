@@ -132,9 +132,6 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).withColumn("auc", r6("auc"))
 
 
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-
-
 def factor_series(spark, sf, level: str):
     """Mean daily return per nation or region: the small factor panel, one row per (date, factor)."""
     s = t.table(spark, sf, "supplier").join(t.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -153,25 +150,27 @@ def _(spark, sf):
 
 
 def region_wide(spark, sf):
+    """Complete dates of the factor panel in columns f0, f1, .., and the names of the factors (the rows of the dimension table)."""
     f = factor_series(spark, sf, "region")
-    wide = f.groupBy("date").pivot("factor", REGIONS).agg(F.first("x"))
-    names = [f"f{i}" for i in range(len(REGIONS))]
-    return wide.toDF("date", *names).dropna(), names
+    factors = [x["r_name"] for x in t.table(spark, sf, "region").select("r_name").distinct().orderBy("r_name").collect()]
+    wide = f.groupBy("date").pivot("factor", factors).agg(F.first("x"))
+    names = [f"f{i}" for i in range(len(factors))]
+    return wide.toDF("date", *names).dropna(), names, factors
 
 
 @query("pca_panel")
 def _(spark, sf):
     """PCA of the standardised region panel: one row per (component, factor) with loading and variance share."""
-    wide, names = region_wide(spark, sf)
+    wide, names, factors = region_wide(spark, sf)
     _, load, var = stats.principal_components(materialise(wide), names, 3)
-    rows = [(i + 1, REGIONS[j], float(load[i][j]), var[i]) for i in range(3) for j in range(len(REGIONS))]
+    rows = [(i + 1, name, float(load[i][j]), var[i]) for i in range(3) for j, name in enumerate(factors)]
     return spark.createDataFrame(rows, "component int, factor string, loading double, share double").select("component", "factor", r6("loading").alias("loading"), r6("share").alias("share"))
 
 
 @query("factor_flows")
 def _(spark, sf):
     """Raw returns projected on the PCA loadings, cumulated and oriented to end positive."""
-    wide, names = region_wide(spark, sf)
+    wide, names, _ = region_wide(spark, sf)
     wide = materialise(wide)
     _, load, _ = stats.principal_components(wide, names, 3)
     proj = F.array(*[F.struct(F.lit(i + 1).alias("component"), sum((F.col(n) * float(load[i][j]) for j, n in enumerate(names)), F.lit(0.0)).alias("pnl")) for i in range(3)])
@@ -184,16 +183,17 @@ def _(spark, sf):
 
 @query("embedding_pca")
 def _(spark, sf):
-    """Variance shares of the centred embedding vectors."""
-    e = t.table(spark, sf, "embeddings")
-    d = materialise(e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]))
-    _, _, var = stats.principal_components(d, [f"e{i}" for i in range(64)], 8, standardise=False)
+    """Variance shares of the centred embedding vectors, whole; vectors of other lengths than the longest take no part."""
+    e = t.table(spark, sf, "embeddings").where("embedding is not null")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    d = materialise(e.where(F.size("embedding") == width).select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)]))
+    _, _, var = stats.principal_components(d, [f"e{i}" for i in range(width)], min(8, width), standardise=False)
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(var)], "component int, share double").withColumn("share", r6("share"))
 
 
 @query("absorption_ratio")
 def _(spark, sf):
-    wide, names = region_wide(spark, sf)
+    wide, names, _ = region_wide(spark, sf)
     d = stats.absorption_ratio(wide, "date", names, 126).where("absorption IS NOT NULL")
     return d.select("date", r6("absorption").alias("absorption"))
 
@@ -262,6 +262,7 @@ def mean_rule(part: str) -> str:
 
 
 REPLICAS = 200
+HALF = 2.0 ** (-1 / 20.0)  # decay of the volatility that the residual surrogates keep
 
 
 @query("permutation_null", f"""WITH {GR}, rp AS (SELECT rep, code, pos, lret FROM gr, (SELECT unnest(range({REPLICAS})) AS rep)),
@@ -301,7 +302,22 @@ def _(spark, sf):
     return out.select(r6("o").alias("observed"), r6("m").alias("null_mean"), r6("q").alias("null_q95"), r6("p").alias("p_value"))
 
 
-@query("surrogate_series")
+_rid = ("3", "rep", "code", "pos")
+_unit = lambda part: f"(({h_sql(part, *_rid)} + 0.5) / 281474976710656.0)"
+_x2 = f"CASE WHEN pos = 0 THEN warm * {HALF!r} + d * d * {1 - HALF!r} ELSE d * d END"
+SURROGATES = GR + f""", rp AS (SELECT rep, code, pos, lret FROM gr, (SELECT unnest(range(2)) AS rep)),
+ b AS (SELECT *, avg(lret) OVER k AS m, stddev_pop(lret) OVER k AS sd, lret - avg(lret) OVER k AS d FROM rp WINDOW k AS (PARTITION BY rep, code)),
+ b2 AS (SELECT *, avg(CASE WHEN pos < 20 THEN d * d END) OVER (PARTITION BY rep, code) + 1e-8 AS warm, abs(d) * CASE WHEN {h_sql(*_rid)} % 2 = 0 THEN 1 ELSE -1 END AS f FROM b),
+ b3 AS (SELECT *, {ewma_sql(_x2, HALF, part='rep, code')} AS v, row_number() OVER (PARTITION BY rep, code ORDER BY pos) AS slot, row_number() OVER (PARTITION BY rep, code ORDER BY {h_sql(*_rid)}, pos) AS pick FROM b2),
+ su AS (SELECT 'shuffle' AS kind, x.rep, x.code, x.pos, y.lret AS sur FROM b3 x JOIN b3 y ON x.rep = y.rep AND x.code = y.code AND x.slot = y.pick
+  UNION ALL SELECT 'signflip', rep, code, pos, m + f * (stddev_pop(d) OVER (PARTITION BY rep, code) / (stddev_pop(f) OVER (PARTITION BY rep, code) + 1e-12)) FROM b3
+  UNION ALL SELECT 'normal', rep, code, pos, m + sd * sqrt(-2 * ln({_unit("'u'")})) * cos(2 * pi() * {_unit("'v'")}) FROM b3
+  UNION ALL SELECT 'fhs', x.rep, x.code, x.pos, x.m + sqrt(x.v) * y.d / sqrt(y.v) FROM b3 x JOIN b3 y ON x.rep = y.rep AND x.code = y.code AND x.slot = y.pick),
+ sz AS (SELECT *, abs(sur) - avg(abs(sur)) OVER (PARTITION BY kind, rep, code) AS z FROM su), sl1 AS (SELECT *, lag(z) OVER (PARTITION BY kind, rep, code ORDER BY pos) AS l1 FROM sz),
+ sn AS (SELECT kind, rep, code, sum(z * l1) / (sum(z * z) + 1e-12) AS ac, stddev_pop(sur) AS sd FROM sl1 GROUP BY kind, rep, code)"""
+
+
+@query("surrogate_series", f"WITH {SURROGATES} SELECT kind, rep, {r('avg(ac)')} AS abs_ac1, {r('avg(sd)')} AS sd FROM sn GROUP BY kind, rep")
 def _(spark, sf):
     """Volatility clustering left in each kind of surrogate: mean lag-1 autocorrelation of absolute returns."""
     base = rs.with_replicas(gapless_returns(spark, sf).select("code", "pos", "lret"), 2)
@@ -311,7 +327,7 @@ def _(spark, sf):
         s = rs.surrogates(base, ["code"], "pos", "lret", kind, 3).withColumn("a", F.abs("sur"))
         ac = stats.lag_autocorrelation(s, ["rep", "code"], "pos", "a", [1])
         sd = s.groupBy("rep", "code").agg(F.stddev_pop("sur").alias("sd"))
-        one = ac.join(sd, ["rep", "code"]).groupBy(F.lit(kind).alias("kind"), "rep").agg(r6(F.avg("ac_1")).alias("abs_ac1"), r6(F.avg("sd")).alias("sd"))
+        one = ac.join(sd, ["rep", "code"]).groupBy(F.lit(kind).alias("kind"), F.col("rep").cast("long").alias("rep")).agg(r6(F.avg("ac_1")).alias("abs_ac1"), r6(F.avg("sd")).alias("sd"))
         out = one if out is None else out.unionByName(one)
     return out
 

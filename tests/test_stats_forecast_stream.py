@@ -300,3 +300,30 @@ def test_keyed_state_keeps_equal_timestamps(spark):
     x = [("a", at(0), 1.0), ("a", at(1), 2.0), ("a", at(1), 3.0)]
     out = _run_in_two_steps(spark, lambda s: state.keyed_state(s, "code", "ts", "price", state.ewma_step(0.5), tie="event_id"), x, [("a", at(1), 4.0), ("a", at(0), 9.0)])
     assert sorted(r["price"] for r in out.collect()) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_intervals_need_their_levels(spark):
+    d = spark.createDataFrame([([-2.0, -1.0, 0.0, 1.0, 2.0], 1.5)], "q array<double>, y double")
+    grid = [0.05, 0.25, 0.5, 0.75, 0.95]
+    assert [c for c in fo.score(d, grid).columns if c.startswith("hit_")] == ["hit_50", "hit_90"]
+    row = fo.summarise(fo.score(d, grid), []).first().asDict()
+    assert (row["cov_50"], row["cov_90"]) == (0.0, 1.0) and "cov_95" not in row
+    with pytest.raises(ValueError):
+        fo.score(d, grid, intervals=[0.95])
+
+
+def test_a_singular_row_does_not_change_its_batch():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([np.ones(30), rng.normal(size=30), rng.normal(size=30) * 1e-7])
+    y = rng.normal(size=30)
+
+    def flat(x):
+        a = x.T @ x
+        return np.concatenate([a[np.triu_indices(3)], x.T @ y])
+
+    alone = stats._solve_batch(flat(x)[None], 3)[0]
+    twice = x.copy()
+    twice[:, 2] = twice[:, 1]
+    both = stats._solve_batch(np.stack([flat(x), flat(twice), np.full(9, np.nan)]), 3)
+    assert np.array_equal(both[0], alone) and np.allclose(alone, np.linalg.lstsq(x, y, rcond=None)[0])
+    assert np.allclose(both[1], np.linalg.lstsq(twice, y, rcond=None)[0]) and np.isnan(both[2]).all()
