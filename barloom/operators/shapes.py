@@ -15,11 +15,21 @@ from .clock import Clock
 
 
 def windows(df: DataFrame, keys: list[str], pos: str, x: str, length: int, stride: int, znorm: bool = False, out: str = "win") -> DataFrame:
-    """Trailing windows of ``length`` values whose start is a multiple of ``stride``; kept at their last row."""
-    w = Clock(keys, pos).back(length)
-    d = df.withColumn(out, F.when((F.col(pos) - (length - 1)) % stride == 0, F.collect_list(x).over(w)))
-    d = d.where(F.col(out).isNotNull() & (F.col(pos) >= length - 1) & (F.size(out) == length))
-    return d.withColumn(out, fa.znorm(F.col(out))) if znorm else d
+    """Trailing windows of ``length`` values whose start is a multiple of ``stride``; kept at their last row.
+
+    A bar is sent to the windows it is in, ceil(length / stride) at most, and each window is put together once; only
+    its last bar brings the other columns along. Windows with a missing bar or value are none.
+    """
+    others = [c for c in df.columns if c not in (*keys, pos)]
+    first = F.greatest(F.ceil((F.col(pos) - (length - 1)) / stride), F.lit(0)) * stride + (length - 1)
+    last = F.col(pos) + length - 1
+    ends = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"), F.lit(stride).cast("long")))
+    sent = df.withColumn("__end", F.explode(ends))
+    row = F.when(F.col(pos) == F.col("__end"), F.struct(pos, *others))
+    sent = sent.select(*keys, "__end", F.struct(F.col(pos).alias("p"), F.col(x).alias("x")).alias("__b"), row.alias("__row")).where(F.col("__b.x").isNotNull())
+    d = sent.groupBy(*keys, "__end").agg(F.collect_list("__b").alias("__b"), F.first("__row", ignorenulls=True).alias("__row")).where(F.size("__b") == length)
+    values = F.transform(F.array_sort("__b"), lambda b: b["x"])
+    return d.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns], (fa.znorm(values) if znorm else values).alias(out))
 
 
 def vol_scaled_windows(df: DataFrame, keys: list[str], pos: str, logp: str, length: int, points: int, stride: int, lookback: int, out: str = "shape") -> DataFrame:

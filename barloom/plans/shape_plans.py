@@ -31,11 +31,16 @@ def log_prices(spark, sf):
     return t.daily_returns(spark, sf).select("code", "pos", "date", "lret", F.log("close").alias("lp"))
 
 
+def points(column: str, n: int):
+    """All points of an array as columns p0, p1, ..."""
+    return [r6(F.element_at(column, j + 1)).alias(f"p{j}") for j in range(n)]
+
+
 @query("windows_znorm", f"""WITH {WIN}, m AS (SELECT code, pos, win, list_avg(win) AS m, list_stddev_pop(win) AS s FROM w)
- SELECT code, pos, {r('(win[1] - m) / (s + 1e-9)')} AS first, {r(f'(win[{L // 2}] - m) / (s + 1e-9)')} AS middle, {r(f'(win[{L}] - m) / (s + 1e-9)')} AS last FROM m""")
+ SELECT code, pos, {', '.join(f'{r(f"(win[{j + 1}] - m) / (s + 1e-9)")} AS p{j}' for j in range(L))} FROM m""")
 def _(spark, sf):
     d = shapes.windows(log_prices(spark, sf), ["code"], "pos", "lp", L, STRIDE, znorm=True)
-    return d.select("code", F.col("pos").cast("long").alias("pos"), r6(F.element_at("win", 1)).alias("first"), r6(F.element_at("win", L // 2)).alias("middle"), r6(F.element_at("win", L)).alias("last"))
+    return d.select("code", F.col("pos").cast("long").alias("pos"), *points("win", L))
 
 
 def _res(j: int) -> str:
@@ -47,10 +52,10 @@ def _res(j: int) -> str:
 RES = WIN + f", rw AS (SELECT code, pos, fwd, [{', '.join(_res(j) for j in range(P))}] AS sh FROM w)"
 
 
-@query("windows_resampled", f"WITH {RES} SELECT code, pos, {', '.join(f'{r(f'sh[{j + 1}]')} AS p{j}' for j in (0, 3, 8, 15))} FROM rw")
+@query("windows_resampled", f"WITH {RES} SELECT code, pos, {', '.join(f'{r(f'sh[{j + 1}]')} AS p{j}' for j in range(P))} FROM rw")
 def _(spark, sf):
     d = shapes.windows(log_prices(spark, sf), ["code"], "pos", "lp", L, STRIDE).withColumn("sh", fa.resample(F.col("win"), L, P))
-    return d.select("code", F.col("pos").cast("long").alias("pos"), *[r6(F.element_at("sh", j + 1)).alias(f"p{j}") for j in (0, 3, 8, 15)])
+    return d.select("code", F.col("pos").cast("long").alias("pos"), *points("sh", P))
 
 
 VSW = LOGP + f""", v AS (SELECT *, CASE WHEN count(lret) OVER (PARTITION BY code ORDER BY pos ROWS BETWEEN {L - 1 + 29} PRECEDING AND {L - 1} PRECEDING) = 30 THEN stddev_pop(lret) OVER (PARTITION BY code ORDER BY pos ROWS BETWEEN {L - 1 + 29} PRECEDING AND {L - 1} PRECEDING) END AS v,
@@ -64,10 +69,10 @@ def scaled(spark, sf):
     return shapes.vol_scaled_windows(d, ["code"], "pos", "lp", L, P, STRIDE, 30)
 
 
-@query("windows_vol_scaled", f"WITH {VSW} SELECT code, pos, {r('sh[1]')} AS p0, {r('sh[9]')} AS p8, {r('sh[16]')} AS drift FROM vs")
+@query("windows_vol_scaled", f"WITH {VSW} SELECT code, pos, {', '.join(f'{r(f'sh[{j + 1}]')} AS p{j}' for j in range(P))}, {r('sh[16]')} AS drift FROM vs")
 def _(spark, sf):
     d = scaled(spark, sf)
-    return d.select("code", F.col("pos").cast("long").alias("pos"), r6(F.element_at("shape", 1)).alias("p0"), r6(F.element_at("shape", 9)).alias("p8"), r6("drift").alias("drift"))
+    return d.select("code", F.col("pos").cast("long").alias("pos"), *points("shape", P), r6("drift").alias("drift"))
 
 
 _FS = VSW + """, fi AS (SELECT *, list_transform(range(2, 17), lambda i: sh[i] - sh[i - 1]) AS inc FROM vs), fm AS (SELECT *, list_avg(inc) AS m, list_var_pop(inc) AS vv FROM fi)"""
