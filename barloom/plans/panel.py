@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_index, r6, year_of
 from ..operators import aggregate as ag
 from ..operators import align, clean
 from ..operators.clock import Clock, with_calendar, with_position
-from ..sources import parse, sinks
+from ..session import shared_dir
+from ..sources import keyed, parse, sinks
 from ..sources import tables as t
 from . import query
 from . import sqltext as q
@@ -55,6 +58,34 @@ def _raw_prices(spark, sf):
     )
 
 
+def _keyed_folder(spark, sf):
+    """The monthly panel as one file for each instrument, written by the committing sink in two appends."""
+    keyed.register(spark)
+    path = shared_dir(spark, "keyed")
+    m = t.monthly_panel(spark, sf).select(F.col("code").cast("string").alias("code"), "month", "close", "volume")
+    for half in (0, 1):
+        part = m.where(F.pmod(F.year("month"), F.lit(2)) == half)
+        part.repartition("code").sortWithinPartitions("code").write.format("keyed_files").option("key", "code").mode("append").save(path)
+    return path
+
+
+@query("sink_partitioned", f"WITH {q.MONTHLY} SELECT code::VARCHAR AS code, month AS date, {r('close', 4)} AS close, {r('volume', 4)} AS volume FROM monthly")
+def _(spark, sf):
+    d = spark.read.format("keyed_files").load(_keyed_folder(spark, sf))
+    return d.select("code", F.col("month").alias("date"), r6("close", 4).alias("close"), r6("volume", 4).alias("volume"))
+
+
+@query("scan_file_per_key", f"""WITH {q.MONTHLY} SELECT code::VARCHAR AS code, count(*) AS months, min(month) AS first, {r('arg_max(close, month)', 4)} AS last_close FROM monthly
+  WHERE code IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY code""")
+def _(spark, sf):
+    """Only the files of the active instruments are opened, and only the columns of the schema are read."""
+    active = t.symbols(spark, sf).where("status = 'active'").select(F.col("code").cast("string").alias("code"))
+    keys = json.dumps([x["code"] for x in active.collect()])  # the symbol master
+    d = spark.read.format("keyed_files").option("keys", keys).schema("code string, month date, close double").load(_keyed_folder(spark, sf))
+    d = d.groupBy("code").agg(F.count(F.lit(1)).alias("months"), F.min("month").alias("first"), F.max_by("close", "month").alias("c"))
+    return d.select("code", "months", "first", r6("c", 4).alias("last_close"))
+
+
 @query("scan_locale_prices", f"WITH {q.MONTHLY} SELECT code, month AS date, {r('close', 4)} AS close FROM monthly WHERE mi % 7 <> 0")
 def _(spark, sf):
     return parse.parse_locale_prices(_raw_prices(spark, sf)).select("code", "date", r6("close", 4).alias("close"))
