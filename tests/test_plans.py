@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 NAMES = [
     "panel_daily_ohlcv", "scan_locale_prices", "asof_statements", "dividend_snap", "weekly_last", "roll_minobs_mean", "channel_ols", "macd_state",
     "composite_score", "mom_long_short", "timing_book", "tiered_cost_book", "orb_follow", "hmm_filter", "permutation_null", "pit_values", "shape_features",
-    "stream_bars_tumbling", "batch_sessions",
+    "stream_bars_tumbling", "batch_sessions", "fade_scalper", "surrogate_series", "scan_file_per_key", "windows_vol_scaled", "roll_quantile",
 ]
 
 
