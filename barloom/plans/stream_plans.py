@@ -84,8 +84,10 @@ def _(spark, sf):
 
 @query("stream_dedupe", "SELECT event_id, event_type AS code FROM events")
 def _(spark, sf):
-    first = lambda b: b.groupBy("event_id").agg(F.min("code").alias("code"))
-    return first(bars.run_parts(_source(spark, sf), first))
+    """Every event is delivered twice, in files of any order; the first delivery within the watermark counts."""
+    feed = ordered.stage_shuffled(spark, f"{sf}/events.parquet", deliveries=2)
+    ticks = bars.tick_stream(spark, feed, files_per_trigger=2)
+    return ordered.drain(spark, bars.dedupe_stream(ticks, ["event_id"], DELAY).select("event_id", "code"))
 
 
 TK = "WITH tk AS (SELECT event_type AS code, ts, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS pos FROM events)"

@@ -88,10 +88,11 @@ def last_of_bars(ticks: DataFrame, length: str) -> DataFrame:
     return bars.select("code", F.window_time("w").alias("ts"), F.col("last.price").alias("price"), "n")
 
 
-def stage_shuffled(spark: SparkSession, events: str, files: int = 8) -> str:
-    """A copy of the event table in ``files`` files of no time order, in the shared folder."""
+def stage_shuffled(spark: SparkSession, events: str, files: int = 8, deliveries: int = 1) -> str:
+    """The event table in ``files`` files of no time order in the shared folder, each row in ``deliveries`` of them."""
     path = shared_dir(spark, "feed")
-    spark.read.schema(EVENT_SCHEMA).parquet(events).repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    rows = spark.read.schema(EVENT_SCHEMA).parquet(events).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(deliveries))))
+    rows.repartition(files, F.xxhash64("event_id", "copy")).drop("copy").write.parquet(path)
     return path
 
 
