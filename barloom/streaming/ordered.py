@@ -26,10 +26,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class OrderedState(StatefulProcessor):
-    """Folds ``step`` over the rows (ts, tie, x) of a key in their order, bar by bar of ``bar_ms``."""
+    """Folds ``step`` over the rows (us: microseconds, tie, x) of a key in their order, bar by bar of ``bar_ms``."""
 
-    def __init__(self, step: Step, bar_ms: int, names: list[str]):
-        self.step, self.bar_ms, self.names = step, bar_ms, names
+    def __init__(self, step: Step, bar_ms: int):
+        self.step, self.bar_ms = step, bar_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -39,8 +39,7 @@ class OrderedState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             frame = frame[frame["x"].notna()]
-            ts = frame["ts"].to_numpy("datetime64[us]").astype(np.int64)
-            for bar, some in frame.assign(us=ts).groupby(ts // (self.bar_ms * 1000)):
+            for bar, some in frame.groupby(frame["us"] // (self.bar_ms * 1000)):
                 columns = [some["us"].tolist(), some["tie"].tolist(), some["x"].tolist()]
                 if self.open.containsKey((int(bar),)):
                     columns = [list(a) + b for a, b in zip(self.open.getValue((int(bar),)), columns, strict=True)]
@@ -59,8 +58,8 @@ class OrderedState(StatefulProcessor):
             v, before = self.step(v, float(x))
             prior.append(before)
         self.vector.update((v,))
-        ts = pd.to_datetime([t for t, _, _ in rows], unit="us")
-        yield pd.DataFrame(dict(zip(self.names, [key[0], ts, [e for _, e, _ in rows], [x for *_, x in rows], pd.array(prior, "Float64").to_numpy(float, na_value=np.nan)], strict=True)))
+        ts, tie, values = zip(*rows, strict=True)
+        yield pd.DataFrame({"key": key[0], "us": ts, "tie": tie, "x": values, "prior": np.array([np.nan if p is None else p for p in prior], float)})
 
     def close(self) -> None:
         pass
@@ -74,10 +73,11 @@ def ordered_state(stream: DataFrame, key: str, ts: str, value: str, step: Step,
     long). Rows without a value are passed over. Needs the RocksDB state store (see draining()).
     """
     order = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
-    rows = stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), order.alias("tie"), F.col(value).cast("double").alias("x"))
-    schema = f"{key} {stream.schema[key].dataType.simpleString()}, {ts} timestamp, tie long, {value} double, {out} double"
-    processor = OrderedState(step, bar_ms, [key, ts, "tie", value, out])
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    # microseconds do not depend on the session's time zone; ``ts`` itself carries the watermark
+    rows = stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"), order.alias("tie"), F.col(value).cast("double").alias("x"))
+    schema = f"key {stream.schema[key].dataType.simpleString()}, us long, tie long, x double, prior double"
+    done = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=OrderedState(step, bar_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return done.select(F.col("key").alias(key), F.timestamp_micros("us").alias(ts), "tie", F.col("x").alias(value), F.col("prior").alias(out))
 
 
 def last_of_bars(ticks: DataFrame, length: str) -> DataFrame:
