@@ -1,10 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document has a rate, the copies it should have on average, between 0 and ``ceiling``. Among the rates that
-give each source its target of words, and the matching number of documents (so that a source keeps its mean
-length), the ones closest to the even rate in entropy are exponentially tilted odds,
-``rate = ceiling / (1 + exp(-(a + b * x)))`` with x the document's size over its source's mean. The two numbers of
-each source solve a convex dual by Newton steps; gradient and curvature are sums over a histogram of (source,
+Every document has a rate, the copies it should have on average, between 0 and ``ceiling``. It starts from one
+copy (half the ceiling, if that is less). Among the rates that give each source its target of words, the ones of
+least relative entropy against the start are exponentially tilted odds, ``rate = ceiling / (1 + exp(-(a + b * x)))``
+with x the document's size over its source's mean and a from the start, so long documents carry more of the change
+than short ones, and one without words keeps its start. The number b of each source solves a convex dual by Newton
+steps, halved back into the interval known to hold it; gradient and curvature are sums over a histogram of (source,
 size), which is all that the steps read. Rates become copies by systematic rounding along the sizes of a source:
 the running sum of fractions passes a whole number once for each extra copy, so the words taken miss the target
 by less than one document; of some starts of the sum the one that misses least is taken.
@@ -12,6 +13,8 @@ by less than one document; of some starts of the sum the one that misses least i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,38 +66,35 @@ class Mixer:
 
     def _rate(self) -> Column:
         even = F.col("target") / F.col("source_size")
-        tilted = self.ceiling / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        base = min(1.0, self.ceiling / 2)
+        tilted = self.ceiling / (1 + F.exp(-(math.log(base / (self.ceiling - base)) + F.col("b") * F.col("x"))))
         return F.when(F.col("source_size") == 0, F.lit(1.0)).when(even >= self.ceiling, F.lit(float(self.ceiling))).when(even <= 0, F.lit(0.0)).otherwise(tilted)
 
     def rates(self) -> DataFrame:
         """The histogram with each bar's rate, after Newton steps on the dual of every source at once."""
-        start = self.sources.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))
+        start = self.sources.withColumn("b", F.lit(0.0))
+        for end in ("low", "high"):  # of the interval that is known to hold b
+            start = start.withColumn(end, F.lit(None).cast("double"))
         bars = self.bars.drop("source")
         x = F.col("size") / (F.col("source_size") / F.col("docs"))
         for step in range(1, STEPS):
             at = bars.join(start, ["named", "key"]).where("source_size > 0").withColumn("x", x).withColumn("r", self._rate())
-            h = F.col("m") * F.col("r") * (1 - F.col("r") / self.ceiling)
-            sums = at.groupBy("named", "key").agg(
-                F.sum(F.col("m") * F.col("r")).alias("r0"), F.sum(F.col("m") * F.col("r") * F.col("x")).alias("r1"),
-                (F.sum(h) + 1e-9).alias("h0"), F.sum(h * F.col("x")).alias("h1"), (F.sum(h * F.col("x") * F.col("x")) + 1e-9).alias("h2"),
-            )
-            wanted = F.col("docs") * F.col("target") / F.col("source_size")  # documents, and words over the mean length
-            moved = start.join(sums, ["named", "key"], "left").withColumn("g0", wanted - F.col("r0")).withColumn("g1", wanted - F.col("r1"))
-            det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
-            flat = det <= 1e-12 * F.col("h0") * F.col("h2")  # one size only: the count alone decides
-            da = F.when(flat, F.col("g0") / F.col("h0")).otherwise((F.col("g0") * F.col("h2") - F.col("g1") * F.col("h1")) / det)
-            db = F.when(flat, F.lit(0.0)).otherwise((F.col("g1") * F.col("h0") - F.col("g0") * F.col("h1")) / det)
+            h = F.col("m") * F.col("r") * (1 - F.col("r") / self.ceiling) * F.col("x") * F.col("x")
+            sums = at.groupBy("named", "key").agg(F.sum(F.col("m") * F.col("r") * F.col("x")).alias("words"), (F.sum(h) + 1e-9).alias("h"))
+            wanted = F.col("docs") * F.col("target") / F.col("source_size")  # words over the mean length
             inner = (F.col("target") < self.ceiling * F.col("source_size")) & (F.col("target") > 0)
-            off = F.when(inner, F.greatest(F.abs("g0"), F.abs("g1")) / wanted)
-            clip = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
-            moved = moved.withColumn("off", off).withColumn("a", F.when(inner, F.col("a") + clip(da)).otherwise(F.col("a"))).withColumn("b", F.when(inner, F.col("b") + clip(db)).otherwise(F.col("b")))
+            moved = start.join(sums, ["named", "key"], "left").withColumn("g", F.when(inner, wanted - F.col("words"))).withColumn("off", F.abs("g") / wanted)
+            moved = moved.withColumn("low", F.when(F.col("g") > 0, F.col("b")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("g") < 0, F.col("b")).otherwise(F.col("high")))
+            newton = F.col("b") + F.col("g") / F.col("h")
+            held = F.when((newton >= F.col("high")) & (F.col("g") > 0) | (newton <= F.col("low")) & (F.col("g") < 0), (F.col("low") + F.col("high")) / 2).otherwise(newton)
+            moved = moved.withColumn("b", F.when(F.col("off") >= TOLERANCE, held).otherwise(F.col("b")))
             start = self.scratch.keep(moved.select(*start.columns, *([] if "off" in start.columns else ["off"])), f"dual-{step}")
             worst = start.agg(F.max("off")).first()[0]
             if worst is None or worst < TOLERANCE:
                 break
         else:
             raise RuntimeError(f"the dual did not settle: {worst}")
-        return bars.join(start.drop("off"), ["named", "key"]).withColumn("x", F.when(F.col("source_size") > 0, x).otherwise(F.lit(0.0))).withColumn("rate", self._rate())
+        return bars.join(start.drop("off", "low", "high"), ["named", "key"]).withColumn("x", F.when(F.col("source_size") > 0, x).otherwise(F.lit(0.0))).withColumn("rate", self._rate())
 
     def _started(self, bars: DataFrame) -> DataFrame:
         """With the start of each source's running sum that lets the words taken come nearest to the target.
@@ -130,21 +130,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     Sources are in code point order, null last, with ``weights`` repeating; together they get ``share`` of all
     words, none more than ``ceiling`` times its own. ``body`` is a hash of text and source. A null or empty text has
-    size 0 and rate 1 or that of its source. Repeated rows count each; which of equal rows gets a copy does not
-    show. Null doc_ids are kept; columns other than the three are unread; an empty table gives an empty result.
+    size 0 and the rate that tilting starts from (1, or half the ceiling), or that of its source where this stops.
+    Repeated rows count each; which of equal rows gets a copy does not show. Null doc_ids are kept; columns other than the three are unread; an empty table gives an empty result.
     """
     return Mixer(docs, weights, share, ceiling).copies()
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
     """``docs`` with every row as often as mix() says. Equal (doc_id, source, text) rows share their copies."""
-    taken = mix(docs, weights, share, ceiling).groupBy("doc_id", "body").agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n"))
-    body = F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
-    one = docs.withColumn("__body", body).withColumn("__id", F.col("doc_id").cast("long"))
-    joined = one.join(taken, one["__id"].eqNullSafe(taken["doc_id"]) & (one["__body"] == taken["body"])).select(*[one[c] for c in docs.columns], "__c", "__n", "__body")
+    names, inner = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no column can clash
+    text, source, doc = (F.col(f"c{names.index(c)}") for c in ("text", "source", "doc_id"))
+    taken = mix(docs, weights, share, ceiling).groupBy("doc_id", "body").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    one = inner.withColumn("own_body", F.xxhash64(text.cast("string"), source.cast("string"))).withColumn("own_id", doc.cast("long"))
+    joined = one.join(taken, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_body") == F.col("body"))).drop("own_body", "own_id")
     # the first of equal rows takes the copies that don't divide
-    rest = F.col("__c") - F.col("__n") * F.floor(F.col("__c") / F.col("__n"))
-    several = joined.where("__n > 1").withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "__body").orderBy("doc_id")))
-    rows = joined.where("__n = 1").withColumn("__i", F.lit(1)).unionByName(several)
-    count = (F.floor(F.col("__c") / F.col("__n")) + (F.col("__i") <= rest).cast("long")).cast("int")
-    return rows.where(count > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), count))).select(*docs.columns)
+    each = F.floor(F.col("copies") / F.col("rows"))
+    several = joined.where("rows > 1").withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "body").orderBy("doc_id")))
+    rows = joined.where("rows = 1").withColumn("i", F.lit(1)).unionByName(several)
+    count = (each + (F.col("i") <= F.col("copies") - F.col("rows") * each).cast("long")).cast("int")
+    return rows.where(count > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), count))).select(*inner.columns).toDF(*names)

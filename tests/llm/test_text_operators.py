@@ -370,3 +370,41 @@ def test_licences_equal_all_pairs(spark, corpus):
     assert got == want and len(want) > len(pieces) - 3
     plan = licences.scan(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rates_are_tilted_by_size_and_of_least_entropy(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * (0 if i % 40 == 0 else int(rng.paretovariate(1.2) * 3))), "abc"[i % 3] if i % 7 else None) for i in range(600)]
+    mixer = mixing.Mixer(table(spark, rows), (3, 1, 2), 1.5, 2.0)
+    bars = mixer.rates().collect()
+    for name in (None, "a", "b", "c"):
+        own = [r for r in bars if (r["key"] if r["named"] else None) == name]
+        m, x, got = (np.array([float(r[c]) for r in own]) for c in ("m", "size", "rate"))
+        target = own[0]["target"]
+        assert (m * x * got).sum() == pytest.approx(target, rel=1e-8)
+        if target >= 2.0 * (m * x).sum():
+            assert (got == 2.0).all()
+            continue
+        low, high = -50.0, 50.0
+        rate = lambda b: 2.0 / (1.0 + np.exp(-b * x))
+        for _ in range(200):
+            b = (low + high) / 2
+            low, high = (b, high) if (m * x * rate(b)).sum() < target else (low, b)
+        assert np.allclose(got, rate(b), atol=1e-7) and np.ptp(got[x > 0]) > 1e-3
+        assert (got[x == 0] == 1.0).all()
+        entropy = lambda r: (m * (r * np.log(r) + (2 - r) * np.log(np.maximum(2 - r, 1e-300)))).sum()
+        even = np.where(x > 0, target / (m * x).sum(), 1.0)
+        assert entropy(got) < entropy(even)
+
+
+def test_columns_that_clash_and_texts_under_one_id(spark):
+    text, other = prose(random.Random(5), 390), prose(random.Random(6), 40)
+    rows = [(0, text), (1, text + " " + prose(random.Random(7), 60)), (1, other), (1, other), (None, other)]
+    names = ["__id", "__i", "__key", "__spans", "__body", "__c", "__n", "__copy", "body", "spans", "copies", "rows", "c0", "i"]
+    docs = spark.createDataFrame([(i, t, "s", *range(len(names))) for i, t in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = passages.without_repeats(docs)
+    assert out.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert len(kept) == 5 and [t for _, t in kept].count(other) == 3 and (0, text) in kept
+    twice = mixing.mixed_documents(docs, share=2.0)
+    assert twice.columns == docs.columns and twice.count() == 10
