@@ -84,7 +84,8 @@ class Ids:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         view = s.buf.tobytes()
-        fold = LOWER if self.literal is not None and not any(x.lower() in view.lower() for x in self.literal) else slice(None)
+        small = view.lower() if self.literal else b""
+        fold = LOWER if self.literal is not None and not any(x.lower() in small for x in self.literal) else slice(None)
         hashes, checks = hash_pairs(WORDS, CHECKS, s.buf, starts, ends, fold)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT:

@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .textarrays import slices
 
 #: Bytes of ids after which a frame ends; a document is never split.
 FRAME_BYTES = 1 << 20
+#: Words that the library encodes as one text.
+JOINED = 128
 #: Fixed values of the public zstandard frame and seekable formats.
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -123,7 +126,10 @@ _WORKER: dict[str, chunks.Ids] = {}
 
 
 def _library(spec: str):
-    """Encodes distinct words by the tokenizers library."""
+    """Encodes distinct words by the tokenizers library, many at a time with a special token between them.
+
+    The library cuts a text at such a token before it does anything else, so each word is encoded by itself.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,13 +138,28 @@ def _library(spec: str):
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    plain = [t for t in json.loads(spec)["added_tokens"] if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+    mark, mark_id = (plain[0]["content"], plain[0]["id"]) if plain else ("", -1)
+
+    def singly(words: list[str]) -> tuple[np.ndarray, list[int]]:
+        found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([*chain.from_iterable(found)], np.uint32), [*map(len, found)]
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
         ids, counts = [np.zeros(0, np.uint32)], []
-        for i in range(0, len(words), 4096):
-            found = [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + 4096]], add_special_tokens=False)]
-            counts += map(len, found)
-            ids.append(np.fromiter((t for x in found for t in x), np.uint32))
+        for i in range(0, len(texts), 4096):
+            some = texts[i : i + 4096]
+            groups = [some[k : k + JOINED] for k in range(0, len(some), JOINED)] if mark else []
+            found = [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)] if mark else []
+            ends = [np.flatnonzero(x == mark_id) for x in found]
+            if not mark or any(len(e) != len(g) - 1 for e, g in zip(ends, groups, strict=True)):  # a word holds the mark
+                flat, n = singly(some)
+                ids.append(flat), counts.extend(n)
+                continue
+            for x, e in zip(found, ends, strict=True):
+                ids.append(np.delete(x, e))
+                counts.extend((np.diff(np.concatenate([[-1], e, [len(x)]])) - 1).tolist())
         return np.concatenate(ids), np.array(counts, np.int64)
 
     return encode
