@@ -7,9 +7,9 @@ A tile is what shares a shingle; a large one is cut into blocks by size band and
 in equal or neighbouring bands meet, each in a task group of bounded size. Inside, sizes, then bit counts
 (a bit that only one side has proves an element that only this side has) bound the overlap from above, and the
 pairs left are verified on the sorted sets. Pairs already connected are skipped, so that a large group of near
-copies costs a few pairs for each member and not all of them: first every node is verified against the one
-partner in each of its tiles that the bit counts favour most, and only then do tiles give every pair of
-different components that the bounds allow.
+copies costs a few pairs for each member and not all of them: first every node meets its next neighbours by size
+in each of its tiles and is verified against the one that the bit counts favour most, and only then do tiles give
+every pair of different components that the bounds allow.
 """
 
 from __future__ import annotations
@@ -32,6 +32,12 @@ BLOCK = 1024
 HOT_KEPT, HOT_FROM = 1 << 18, 64
 #: Tiles with the same first node mostly hold the same group; they are dealt to so many tasks, where a pair counts once.
 SPREAD = 2
+#: Neighbours in a tile, in order of size, that a row meets in the first pass.
+CHAIN = 8
+#: Bytes of rows that a task gathers before it works on the tiles that are whole.
+HELD_BYTES = 16 << 20
+#: Bytes of text hashed at once.
+SLICE = 1 << 20
 #: Pairs that a task remembers as already emitted.
 REMEMBERED = 1 << 19
 #: Bytes of the bit set by which a scan skips documents that no pair names.
@@ -113,7 +119,7 @@ def _prefixes(width: int, percent: int, hot):
         last = hot.value
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            for s in slices(batch.column(0)):
+            for s in slices(batch.column(0), SLICE):
                 h, o = word_hashes(s, lower=True)
                 keys, nodes, counts = [], [], []
                 for i in range(len(s.texts)):
@@ -134,18 +140,24 @@ def _prefixes(width: int, percent: int, hot):
     return run
 
 
+def _halved(words: np.ndarray) -> np.ndarray:
+    """Bitmaps folded to half their bits: neighbouring bits share all but the last bit of their position."""
+    x = words.byteswap()  # the first bit of a bitmap is the highest of its first byte
+    x = (x | x >> U64(1)) & U64(0x5555555555555555)
+    for k, keep in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        x = (x | x >> U64(k)) & U64(keep)
+    return x.astype(np.uint32).byteswap()
+
+
 class Bitmaps:
-    """Bitmaps of some rows as 64-bit words, with each one also folded to half its bits."""
+    """Bitmaps of some rows as 64-bit words, read where Arrow has them."""
 
     def __init__(self, column: pa.Array):
-        raw = column.to_pylist()
-        self.words = np.fromiter((len(b) // 8 for b in raw), np.int64, len(raw))
-        whole = np.frombuffer(b"".join(raw), np.uint8)
-        self.whole = whole.view(U64)
-        # neighbouring bits share all but the last bit of their position
-        pair = np.unpackbits(whole).reshape(-1, 2).any(axis=1)
-        self.half = np.packbits(pair).view(np.uint32)
-        self.at = np.concatenate([[0], np.cumsum(self.words)])
+        column = column.cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        self.whole = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(U64)
+        self.at = (at - at[0]) // 8
+        self.words = np.diff(self.at)
 
     def only(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of rows: the bits only a has, and only b has; sizes within a factor two are compared.
@@ -174,7 +186,7 @@ class Bitmaps:
         at = self.at[:-1][rows][:, None]
         if whole:
             return self.whole[at + np.arange(lo, hi)].view(np.uint32)
-        return self.half[at + np.arange(2 * lo, 2 * hi)]
+        return _halved(self.whole[at + np.arange(2 * lo, 2 * hi)])
 
 
 def most_shared(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
@@ -190,7 +202,8 @@ def _tiles(percent: int, best: bool):
 
     Rows come sorted by (tile, size). Row i meets i + 1, i + 2, ... for all rows at once, as long as the tile is
     the same and the larger size is in reach, so the work is the number of such pairs and none is emitted before
-    its bit counts are seen. ``best``: only the partner of each row that the bound on the overlap favours most.
+    its bit counts are seen. ``best``: rows meet the next CHAIN ones alone, and each gives the partner that the bound
+    on the overlap favours most; the work is linear in the rows.
     """
 
     def of(t: pa.Table, seen: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -202,7 +215,7 @@ def _tiles(percent: int, best: bool):
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         partner, favour = np.full(len(node), -1), np.zeros(len(node))
         left, d = np.arange(len(node)), 1
-        while len(left):
+        while len(left) and not (best and d > CHAIN):
             left = left[left + d < last[left]]
             left = left[100 * n[left] >= percent * n[left + d]]
             other = left + d
@@ -233,13 +246,13 @@ def _tiles(percent: int, best: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                rows += batch.num_rows
-            if rows < 8 * BLOCK:
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows < 8 * BLOCK and size < HELD_BYTES:
                 continue
             t = pa.Table.from_batches(held)
             s, k = t.column("shingle").to_numpy(), t.column("block").to_numpy()
@@ -248,6 +261,7 @@ def _tiles(percent: int, best: bool):
                 cut = int(whole[-1]) + 1
                 yield of(t.slice(0, cut), seen)
                 held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+                size = sum(x.nbytes for x in held)
         if held:
             yield of(pa.Table.from_batches(held), seen)
 
@@ -261,7 +275,7 @@ def _exact_sets(width: int, seen):
         bits = np.frombuffer(seen.value, np.uint8)
         for batch in batches:
             chosen = batch.filter(pa.array(_among(bits, batch.column(0))))
-            for s in slices(chosen.column(1)):
+            for s in slices(chosen.column(1), SLICE):
                 h, o = word_hashes(s, lower=True)
                 sets = [shingle_set(h[o[i] : o[i + 1]], width) for i in range(len(s.texts))]
                 keys = [identity(e) for e in sets]
