@@ -179,6 +179,9 @@ def compile_tokenizer(path: str) -> Automaton:
     return Automaton(labels, [(ids[a], ids[b], ids[a + b]) for a, b in merges], special)
 
 
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
+
 #: The splitting pattern of byte-level vocabularies, for ASCII alone; other chunks are split by the library.
 ASCII_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
@@ -197,14 +200,12 @@ class Words:
         self.target[list(a.target)] = list(a.target.values())
         self.size = np.diff(a.label_offsets)
         self.place = np.full(len(a.parent), -1, np.int64)
-        self.arcs = np.zeros((256, (len(a.left) + 7) // 8), np.uint8)
+        self.arcs = np.zeros((len(a.parent), (len(a.left) + 7) // 8), np.uint8)  # untouched rows take no memory
         self.used = 0
 
     def _rows(self, states: np.ndarray) -> np.ndarray:
         """Where the table has the arcs of each state; new rows are filled in."""
         for q in np.unique(states[self.place[states] < 0]).tolist():
-            if self.used == len(self.arcs):
-                self.arcs = np.concatenate([self.arcs, np.zeros_like(self.arcs)])[: len(self.place)]
             self.arcs[self.used], self.place[q] = self.automaton.row(q), self.used
             self.used += 1
         return self.place[states]
@@ -317,7 +318,7 @@ def _digests(tables, name: str):
             _WORKER[name] = (tables.value, chunks.Ids(Encoder(tables.value)))
         automaton, ids_of = _WORKER[name]
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), SLICE):
                 starts, ends, offsets = chunks.spaced_words(s)
                 ids, n = ids_of.of(s, starts, ends)
                 first = np.concatenate([[0], np.cumsum(n)])[offsets]
@@ -345,7 +346,7 @@ def _encoded(tables, name: str):
             _WORKER[name] = (tables.value, chunks.Ids(Encoder(tables.value)))
         automaton, ids_of = _WORKER[name]
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), SLICE):
                 starts, ends, offsets = chunks.spaced_words(s)
                 ids, n = ids_of.of(s, starts, ends)
                 first = np.concatenate([[0], np.cumsum(n)])[offsets]

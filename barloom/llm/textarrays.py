@@ -8,6 +8,7 @@ everywhere, and different ones of a collection of n differ with probability 1 -
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +115,15 @@ class Slice:
         return starts, ends, np.concatenate([[0], np.searchsorted(ends, self.end) + 1])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on through later stages, and idle ones would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not every C library has it
+        pass
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """A text column (null: empty) in slices of about ``limit`` bytes, whole texts each."""
     texts = column.cast(pa.large_binary()).to_pylist()
@@ -127,6 +137,8 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
             begin, size = i + 1, 0
     if begin < len(texts):
         yield Slice(begin, texts[begin:])
+    del texts
+    give_back()
 
 
 def word_hashes(s: Slice, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
