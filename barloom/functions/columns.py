@@ -24,6 +24,12 @@ def r6(x: str | Column, places: int = 6) -> Column:
     return F.floor(col(x) * scale + 0.5001) / scale
 
 
+def r6_any(x: str | Column, places: int = 6) -> Column:
+    """r6() that keeps NaN and infinities, which a floor to a whole number would turn into numbers."""
+    x = col(x)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(r6(x, places))
+
+
 def null_if_nan(x: str | Column) -> Column:
     """NaN and infinities become NULL, the only missing value used in panels."""
     x = col(x).cast("double")
@@ -43,6 +49,26 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col(num), col(den))
 
 
+def ieee_ratio(num: str | Column, den: str | Column) -> Column:
+    """Division of doubles as IEEE has it, without an error: x/0 is an infinity of the sign of x, 0/0 is NaN."""
+    num, den = col(num), col(den)
+    by_zero = F.when((num == 0) | F.isnan(num), float("nan")).when(num > 0, float("inf")).when(num < 0, float("-inf"))
+    return F.when(den == 0, by_zero).otherwise(F.try_divide(num, den))
+
+
+def stable_sum(x: str | Column) -> Column:
+    """Sum of doubles that hangs on the order of the rows no more: whole 2**-20ths are added exactly, as longs.
+
+    What is left of each value is below 2**-20, so the rounding of its sum lies far below the last bit of the total.
+    Infinite, NaN and very large values are added as doubles.
+    """
+    x = col(x)
+    fits = F.abs(x) < 2.0**30
+    ticks = F.floor(F.when(fits, x) * 2.0**20)
+    exact = F.coalesce(F.sum(ticks).cast("double") / 2.0**20, F.lit(0.0)) + F.coalesce(F.sum(F.when(fits, x) - ticks / 2.0**20), F.lit(0.0))
+    return F.when(F.count(x) > 0, exact + F.coalesce(F.sum(F.when(~fits, x)), F.lit(0.0)))
+
+
 def positive_ratio(num: str | Column, den: str | Column, same_unit: Column | None = None) -> Column:
     """Ratio factor that exists only for a positive denominator and matching units."""
     ok = col(den) > 0
@@ -116,9 +142,9 @@ def signed_return(direction: str | Column, entry: str | Column, exit_: str | Col
     return F.when(F.upper(col(direction)) == "SHORT", -gross).otherwise(gross)
 
 
-def trade_net(direction, entry, exit_, days, spread_bps, financing) -> Column:
-    """Signed gross return less two spread payments and pro-rata financing."""
-    return signed_return(direction, entry, exit_) - col(spread_bps) * 2 / 1e4 - col(financing) * col(days) / 365
+def trade_net(direction, entry, exit_, days, spread_bps, financing, gross: str | Column | None = None) -> Column:
+    """Signed gross return (``gross``, if it is known) less two spread payments and pro-rata financing."""
+    return (signed_return(direction, entry, exit_) if gross is None else col(gross)) - col(spread_bps) * 2 / 1e4 - col(financing) * col(days) / 365
 
 
 # Candle geometry over columns named open/high/low/close.

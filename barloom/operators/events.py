@@ -51,6 +51,7 @@ def opening_breakout(df: DataFrame, keys: list[str], bars: int = 3, box_bars: in
     """Follow the first touch of either box edge; stop at the other edge; exit at the box or session end.
 
     Everything is window aggregates over one (instrument, session) partitioning: one shuffle in all.
+    Entered at a price of zero, a trade has infinite or undefined returns, as IEEE division gives them.
     """
     s = Window.partitionBy(*keys)
     b, o, h, lo, c = F.col(order), F.col("open"), F.col("high"), F.col("low"), F.col("close")
@@ -79,7 +80,7 @@ def opening_breakout(df: DataFrame, keys: list[str], bars: int = 3, box_bars: in
     favour = F.when(F.col("long"), h).otherwise(lo)
 
     def signed(px):
-        return (px - F.col("entry")) / F.col("entry") * sign
+        return fc.ieee_ratio((px - F.col("entry")) * sign, "entry")
 
     out = d.groupBy(*keys).agg(
         F.first("hi").alias("box_hi"), F.first("lo_").alias("box_lo"), F.first("ei").alias("entry_bar"), F.first("long").alias("long"),
@@ -90,8 +91,8 @@ def opening_breakout(df: DataFrame, keys: list[str], bars: int = 3, box_bars: in
         F.max(F.when(inside, F.greatest(signed(favour), F.lit(0.0)))).alias("mfe"),
     )
     out = out.withColumn("exit", F.when(F.col("stopped"), F.col("stop")).otherwise(F.col("end_close"))).drop("end_close")
-    gross = (F.col("exit") - F.col("entry")) / F.col("entry")
-    out = out.withColumns({"risk": F.abs(F.col("stop") - F.col("entry")) / F.col("entry"), "gross": F.when(F.col("long"), gross).otherwise(-gross)})
+    gain = F.when(F.col("long"), F.col("exit") - F.col("entry")).otherwise(F.col("entry") - F.col("exit"))
+    out = out.withColumns({"risk": fc.ieee_ratio(F.abs(F.col("stop") - F.col("entry")), "entry"), "gross": fc.ieee_ratio(gain, "entry")})
     return out.where("risk > 0")
 
 

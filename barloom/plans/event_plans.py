@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as fc
-from ..functions.columns import r6, year_of
+from ..functions.columns import r6, r6_any, year_of
 from ..operators import book, events, fades, metrics, recursion, rolling, trendlines, xsec
 from ..operators.aggregate import grid_neighbourhood, with_grid
 from ..operators.clock import Clock, with_position
@@ -61,28 +61,28 @@ def orb(spark, sf, **kw):
 @query("orb_follow", f"""WITH {ORB} SELECT code, session, lng AS long, ei AS entry_bar, xi AS exit_bar, stopped, {r('entry')} AS entry, {r('exit')} AS exit, {r('gross')} AS gross, {r('risk')} AS risk, {r('mae')} AS mae, {r('mfe')} AS mfe FROM tr""")
 def _(spark, sf):
     d = orb(spark, sf)
-    return d.select("code", "session", "long", F.col("entry_bar").cast("long").alias("entry_bar"), F.col("exit_bar").cast("long").alias("exit_bar"), "stopped", *[r6(c).alias(c) for c in ("entry", "exit", "gross", "risk", "mae", "mfe")])
+    return d.select("code", "session", "long", F.col("entry_bar").cast("long").alias("entry_bar"), F.col("exit_bar").cast("long").alias("exit_bar"), "stopped", *[r6_any(c).alias(c) for c in ("entry", "exit", "gross", "risk", "mae", "mfe")])
 
 
 @query("trade_metrics", f"""WITH {ORB}, c AS (SELECT *, gross - 0.0005 AS net FROM tr)
  SELECT lng AS long, count(net) AS n, {r('avg((net > 0)::INT)')} AS win_rate, {r('avg(net)')} AS mean_net, {r('sum(CASE WHEN net > 0 THEN net END) / -sum(CASE WHEN net < 0 THEN net END)')} AS profit_factor, {r('avg(net / risk)')} AS mean_r FROM c GROUP BY lng""")
 def _(spark, sf):
     d = orb(spark, sf).withColumn("net", F.col("gross") - 0.0005)
-    return d.groupBy("long").agg(*[e.alias(k) if k == "n" else r6(e).alias(k) for k, e in metrics.trade_metrics("net", "risk").items()])
+    return d.groupBy("long").agg(*[e.alias(k) if k == "n" else r6_any(e).alias(k) for k, e in metrics.trade_metrics("net", "risk").items()])
 
 
 @query("cost_grid_grouping", f"""WITH {ORB}, g AS (SELECT unnest([0.0, 5.0, 10.0]) AS bps), c AS (SELECT bps::DOUBLE AS bps, CASE WHEN lng THEN 'LONG' ELSE 'SHORT' END AS side, gross - bps / 1e4 AS net FROM tr, g)
  SELECT bps, coalesce(side, 'BOTH') AS side, count(*) AS n, {r('avg(net)')} AS mean_net FROM c GROUP BY GROUPING SETS ((bps), (bps, side))""")
 def _(spark, sf):
     d = with_grid(orb(spark, sf), bps=[0.0, 5.0, 10.0]).withColumns({"side": F.when(F.col("long"), "LONG").otherwise("SHORT"), "net": F.col("gross") - F.col("bps") / 1e4})
-    out = d.groupingSets([["bps"], ["bps", "side"]], "bps", "side").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("net")).alias("mean_net"))
+    out = d.groupingSets([["bps"], ["bps", "side"]], "bps", "side").agg(F.count(F.lit(1)).alias("n"), r6_any(F.avg("net")).alias("mean_net"))
     return out.select("bps", F.coalesce("side", F.lit("BOTH")).alias("side"), "n", "mean_net")
 
 
 @query("trade_cost_model", f"""WITH {ORB}, g AS (SELECT unnest([5.0, 20.0]) AS sp) SELECT code, session, sp::DOUBLE AS spread_bps, {r('gross - 2 * sp / 1e4 - 0.05 * 1 / 365')} AS net FROM tr, g""")
 def _(spark, sf):
     d = with_grid(orb(spark, sf), spread_bps=[5.0, 20.0]).withColumns({"direction": F.when(F.col("long"), "LONG").otherwise("SHORT"), "days": F.lit(1), "fin": F.lit(0.05)})
-    return d.select("code", "session", "spread_bps", r6(fc.trade_net("direction", "entry", "exit", "days", "spread_bps", "fin")).alias("net"))
+    return d.select("code", "session", "spread_bps", r6_any(fc.trade_net("direction", "entry", "exit", "days", "spread_bps", "fin", "gross")).alias("net"))
 
 
 @query("concentration", f"""WITH {ORB}, g AS (SELECT session, sum(gross) AS s, count(*) AS m FROM tr GROUP BY session), tp AS (SELECT sum(s) AS ts, sum(m) AS tm FROM (SELECT * FROM g ORDER BY s DESC, session LIMIT 3)),
@@ -90,16 +90,16 @@ def _(spark, sf):
  SELECT {r('ts / s')} AS top_share, n_pos, n_neg, {r('(s - ts) / (m - tm)')} AS mean_ex_top FROM a, tp""")
 def _(spark, sf):
     d = metrics.concentration(orb(spark, sf), "session", "gross", 3)
-    return d.select(r6("top_share").alias("top_share"), "n_pos", "n_neg", r6("mean_ex_top").alias("mean_ex_top"))
+    return d.select(r6_any("top_share").alias("top_share"), "n_pos", "n_neg", r6_any("mean_ex_top").alias("mean_ex_top"))
 
 
 @query("beta_neutral_trades", f"""WITH {ORB}, dm AS (SELECT session, avg(close / open - 1) AS mk FROM (SELECT code, session, arg_min(open, bar_no) AS open, arg_max(close, bar_no) AS close FROM sb GROUP BY ALL) GROUP BY session)
  SELECT code, session, {r('gross - CASE WHEN lng THEN 1 ELSE -1 END * mk')} AS alpha FROM tr JOIN dm USING (session)""")
 def _(spark, sf):
     s = session_bars(spark, sf).groupBy(*SESS).agg(F.min_by("open", "bar_no").alias("o"), F.max_by("close", "bar_no").alias("c"))
-    mk = s.groupBy("session").agg(F.avg(F.col("c") / F.col("o") - 1).alias("mk"))
+    mk = s.groupBy("session").agg(F.avg(fc.ieee_ratio("c", "o") - 1).alias("mk"))
     d = orb(spark, sf).join(mk, "session")
-    return d.select("code", "session", r6(F.col("gross") - F.when(F.col("long"), 1.0).otherwise(-1.0) * F.col("mk")).alias("alpha"))
+    return d.select("code", "session", r6_any(F.col("gross") - F.when(F.col("long"), 1.0).otherwise(-1.0) * F.col("mk")).alias("alpha"))
 
 
 @query("trades_with_state", f"""WITH {ORB}, dy AS (SELECT code, CAST(ts AS DATE) AS session, max(high) - min(low) AS rng FROM bars GROUP BY ALL), stt AS (SELECT code, session, rng / lag(avg_rng) OVER (PARTITION BY code ORDER BY session) AS state FROM (
@@ -110,8 +110,8 @@ def _(spark, sf):
     dy = b.groupBy(*SESS).agg((F.max("high") - F.min("low")).alias("rng"))
     w = Window.partitionBy("code").orderBy("session")
     st = dy.withColumn("avg_rng", F.avg("rng").over(w.rowsBetween(-4, 0)))
-    st = st.withColumn("state", F.col("rng") / F.lag("avg_rng").over(w)).select(*SESS, "state")
-    return orb(spark, sf).join(st, SESS, "left").select("code", "session", r6("gross").alias("gross"), r6("state").alias("state"))
+    st = st.withColumn("before", F.lag("avg_rng").over(w)).withColumn("state", fc.ieee_ratio("rng", "before")).select(*SESS, "state")
+    return orb(spark, sf).join(st, SESS, "left").select("code", "session", r6_any("gross").alias("gross"), r6_any("state").alias("state"))
 
 
 def day_bars(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import month_index, r6, year_of
+from ..functions.columns import month_index, r6, r6_any, year_of
 from ..operators import resampling as rs
 from ..operators import rolling, stats, xsec
 from ..operators.clock import Clock, with_position
@@ -299,7 +299,7 @@ def _(spark, sf):
     d = rs.with_replicas(tr, 200).withColumn("x", F.col("rr") * rs.random_sign(5, F.col("rep"), F.col("code"), F.col("session")))
     n = d.groupBy("rep").agg(F.avg("x").alias("m")).join(F.broadcast(obs))
     out = n.agg(F.max("o").alias("o"), F.avg("m").alias("m"), F.percentile("m", F.lit(0.95)).alias("q"), F.avg((F.col("m") >= F.col("o")).cast("double")).alias("p"))
-    return out.select(r6("o").alias("observed"), r6("m").alias("null_mean"), r6("q").alias("null_q95"), r6("p").alias("p_value"))
+    return out.select(r6_any("o").alias("observed"), r6_any("m").alias("null_mean"), r6_any("q").alias("null_q95"), r6_any("p").alias("p_value"))
 
 
 _rid = ("3", "rep", "code", "pos")
