@@ -496,7 +496,7 @@ def _(spark, sf):
 @query("phase_shift_monthly", f"""WITH {q.DAILY}, s AS (SELECT unnest([0, 7, 14, 21]) AS shift), x AS (SELECT shift, code, date, close, CAST(date - shift AS DATE) AS d FROM daily, s)
  SELECT shift, code, year(d) * 12 + month(d) - 1 AS mi, {r('arg_max(close, date)')} AS close FROM x GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return ag.phase_months(t.daily_panel(spark, sf), [0, 7, 14, 21], "close").withColumn("close", r6("close"))
+    return ag.phase_months(t.by_instrument(spark, sf, t.daily_panel(spark, sf).select("code", "date", "close")), [0, 7, 14, 21], "close").withColumn("close", r6("close"))
 
 
 @query("market_return", f"""WITH {q.BOOKRET}, m AS (SELECT date, avg(cret) AS mret, count(cret) AS n FROM br WHERE cret IS NOT NULL GROUP BY date)
