@@ -60,16 +60,27 @@ def permute_within(df: DataFrame, keys: list[str], pos: str, value: str, seed: i
 
     rid = row_id if row_id is not None else F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col(pos).cast("string"))
     part = [rep, *keys]
+    name = out or value
+    if splits == 1:
+        # a row goes to the place it has and its value to the place it takes, so no join and no shuffle but that of the groups
+        w = Window.partitionBy(*part, "__ok")
+        d = df.withColumns({"__ok": F.col(value).isNotNull(), "__h": hash_int(seed, F.col(rep), rid)})
+        d = d.withColumns({"__slot": F.row_number().over(w.orderBy(pos)), "__pick": F.row_number().over(w.orderBy("__h", pos))})
+        row, new = F.struct(*df.columns), F.struct(F.col(value).alias("v"))
+        own = F.struct(F.col("__slot").alias("k"), row.alias("row"), F.lit(None).cast(df.select(new).schema[0].dataType).alias("new"))
+        sent = F.struct(F.col("__pick").alias("k"), F.lit(None).cast(df.schema).alias("row"), new.alias("new"))
+        both = d.select(*part, "__ok", F.explode(F.array(own, sent)).alias("__e")).select(*part, "__ok", "__e.*")
+        met = both.groupBy(*part, "__ok", "k").agg(F.first("row", True).alias("row"), F.first("new", True).alias("new"))
+        # the keys are those of the groups, whose partitioning is known
+        return met.select(*[F.col(c) if c in part else F.col(f"row.`{c}`").alias(c) for c in df.columns], F.col("new.v").alias("__new")).withColumn(name, F.col("__new")).drop("__new")
     ok = df.where(F.col(value).isNotNull())
     d = ok.select(*part, pos, value, hash_int(seed, F.col(rep), rid).alias("__h"))
     d = xsec.with_row_number(d, part, pos, pos, "__slot", splits=splits)
     d = xsec.with_row_number(d, part, "__h", pos, "__pick", splits=splits)
-    if splits > 1:
-        d = materialise(d)
+    d = materialise(d)
     took = d.select(*part, F.col("__pick").alias("__slot"), F.col(value).alias("__new"))
     new = d.join(took, [*part, "__slot"]).select(*part, pos, "__new")
     res = df.join(new, [*part, pos], "left")
-    name = out or value
     return res.withColumn(name, F.col("__new")).drop("__new")
 
 

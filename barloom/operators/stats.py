@@ -191,8 +191,8 @@ def absorption_ratio(df: DataFrame, order: str, cols: list[str], n: int) -> Data
     return d.withColumn("absorption", top_share("__c")).drop("__c")
 
 
-def lag_autocorrelation(df: DataFrame, keys: list[str], pos: str, x: str, lags: list[int]) -> DataFrame:
-    """Sum z_t z_{t-k} / sum z^2 of the demeaned series, per key."""
+def lag_autocorrelation(df: DataFrame, keys: list[str], pos: str, x: str, lags: list[int], others: dict[str, Column] | None = None) -> DataFrame:
+    """Sum z_t z_{t-k} / sum z^2 of the demeaned series, per key; ``others`` are further aggregates of the same rows."""
     from .clock import Clock
 
     s = Window.partitionBy(*keys)
@@ -200,7 +200,7 @@ def lag_autocorrelation(df: DataFrame, keys: list[str], pos: str, x: str, lags:
     c = Clock(keys, pos)
     d = d.withColumns({f"__l{k}": F.col("__z") * c.at("__z", -k) for k in lags})
     den = F.sum(F.col("__z") * F.col("__z")) + 1e-12
-    return d.groupBy(*keys).agg(*[(F.sum(f"__l{k}") / den).alias(f"ac_{k}") for k in lags])
+    return d.groupBy(*keys).agg(*[(F.sum(f"__l{k}") / den).alias(f"ac_{k}") for k in lags], *[a.alias(k) for k, a in (others or {}).items()])
 
 
 def every_nth(df: DataFrame, keys: list[str], pos: str, step: int, offset: int = 0) -> DataFrame:

@@ -321,13 +321,12 @@ SURROGATES = GR + f""", rp AS (SELECT rep, code, pos, lret FROM gr, (SELECT unne
 def _(spark, sf):
     """Volatility clustering left in each kind of surrogate: mean lag-1 autocorrelation of absolute returns."""
     base = rs.with_replicas(gapless_returns(spark, sf).select("code", "pos", "lret"), 2)
-    base = materialise(base)
+    base = t.by_instrument(spark, sf, materialise(base))  # one shuffle, which all windows of all kinds share
     out = None
     for kind in ("shuffle", "signflip", "normal", "fhs"):
         s = rs.surrogates(base, ["code"], "pos", "lret", kind, 3).withColumn("a", F.abs("sur"))
-        ac = stats.lag_autocorrelation(s, ["rep", "code"], "pos", "a", [1])
-        sd = s.groupBy("rep", "code").agg(F.stddev_pop("sur").alias("sd"))
-        one = ac.join(sd, ["rep", "code"]).groupBy(F.lit(kind).alias("kind"), F.col("rep").cast("long").alias("rep")).agg(r6(F.avg("ac_1")).alias("abs_ac1"), r6(F.avg("sd")).alias("sd"))
+        ac = stats.lag_autocorrelation(s, ["rep", "code"], "pos", "a", [1], {"sd": F.stddev_pop("sur")})
+        one = ac.groupBy(F.lit(kind).alias("kind"), F.col("rep").cast("long").alias("rep")).agg(r6(F.avg("ac_1")).alias("abs_ac1"), r6(F.avg("sd")).alias("sd"))
         out = one if out is None else out.unionByName(one)
     return out
 

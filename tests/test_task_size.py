@@ -27,3 +27,14 @@ def test_tasks_grow_with_line_items(spark, items, monkeypatch, name):
     got = plans.QUERIES[name](spark, items)
     assert got.rdd.getNumPartitions() == 40
     assert rows(got, *order) == want
+
+
+def test_surrogates_share_one_shuffle(spark, items, monkeypatch):
+    plans.load()
+    want = rows(plans.QUERIES["surrogate_series"](spark, items), "kind", "rep")
+    monkeypatch.setattr(tables, "PRINTS_PER_TASK", 100, raising=False)
+    got = plans.QUERIES["surrogate_series"](spark, items)
+    assert rows(got, "kind", "rep") == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the join of values to their places is an aggregation within the dealt series
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
