@@ -25,17 +25,19 @@ class RunningHull:
         self.y: list[float] = []
 
     def add(self, i: int, v: float) -> None:
-        if self.y and v < self.y[0]:
-            self.x, self.y = [], []
-        while len(self.x) > 1:
-            (x0, x1), (y0, y1) = self.x[-2:], self.y[-2:]
+        x, y = self.x, self.y
+        if y and v < y[0]:
+            x.clear()
+            y.clear()
+        while len(x) > 1:
+            x0, y0 = x[-2], y[-2]
             # drop the middle vertex unless the path turns left through it
-            if (y1 - y0) * (i - x0) < (v - y0) * (x1 - x0):
+            if (y[-1] - y0) * (i - x0) < (v - y0) * (x[-1] - x0):
                 break
-            self.x.pop()
-            self.y.pop()
-        self.x.append(i)
-        self.y.append(v)
+            x.pop()
+            y.pop()
+        x.append(i)
+        y.append(v)
 
     def line(self, min_span: int) -> tuple[int, int, float, float] | None:
         """Most recent edge spanning at least ``min_span`` bars: (a, b, value at a, slope)."""
@@ -54,15 +56,34 @@ def hull_edges(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(h.x, h.x[1:]))
 
 
+def _lines(values: list[float], min_span: int) -> list[tuple | None]:
+    """For each value RunningHull.line() of the values before it."""
+    h, out, line = RunningHull(), [], None
+    for i, v in enumerate(values):
+        out.append(line)
+        h.add(i, v)
+        line = h.line(min_span)
+    return out
+
+
 def prior_lines(low: np.ndarray, high: np.ndarray, min_span: int) -> list[tuple]:
     """For each bar, the support and resistance line known from strictly earlier bars (log space)."""
-    sup, res, out = RunningHull(), RunningHull(), []
-    for i, (lo, hi) in enumerate(zip(np.log(low).tolist(), (-np.log(high)).tolist())):
-        s, r = sup.line(min_span), res.line(min_span)
-        out.append((s, (r[0], r[1], -r[2], -r[3]) if r else None))
-        sup.add(i, lo)
-        res.add(i, hi)
-    return out
+    sup, res = _lines(np.log(low).tolist(), min_span), _lines((-np.log(high)).tolist(), min_span)
+    return [(s, (r[0], r[1], -r[2], -r[3]) if r else None) for s, r in zip(sup, res, strict=True)]
+
+
+def candidates(lines: list[tuple], low: np.ndarray, high: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Bars that may pass the first test of breakout_at(): all of its, and some that miss it by rounding."""
+    nan = (math.nan,) * 4
+    at = np.arange(len(lines))
+    sup, res = (np.array([x[k] or nan for x in lines], float).reshape(-1, 4) for k in (0, 1))
+    level_of = lambda x: np.exp(x[:, 2] + x[:, 3] * (at - x[:, 0]))
+    slack = band - 1e-9 * (np.abs(high) + np.abs(low) + np.abs(band))
+    with np.errstate(invalid="ignore", over="ignore"):
+        s, r = level_of(sup), level_of(res)
+        # what isn't surely below the band (an overflow, too) is left to breakout_at()
+        known = ~np.isnan(sup[:, 0]) & ~np.isnan(res[:, 0])
+        return known & ~((high - r <= slack - 1e-9 * r) & (s - low <= slack - 1e-9 * s))
 
 
 def ray(line: tuple, at) -> np.ndarray:
@@ -123,8 +144,8 @@ def breakout_signals(df: DataFrame, keys: list[str], k: float = 0.5, min_touches
         _, high, low, _, atr, _ = _arrays(pdf)
         band, lines, rows = bands(atr, k), prior_lines(low, high, min_span), []
         dates = pdf["date"].to_numpy()
-        for i in range(warmup, len(pdf)):
-            hit = breakout_at(i, lines, low, high, band, min_touches)
+        for i in np.flatnonzero(candidates(lines, low, high, band)).tolist():
+            hit = i >= warmup and breakout_at(i, lines, low, high, band, min_touches)
             if hit:
                 d, act, saf, n, gap = hit
                 rows.append((i, dates[i], d, act[0], act[1], saf[0], saf[1], n[0], gap / atr[i] if atr[i] > 0 else None))
@@ -137,24 +158,28 @@ def breakout_signals(df: DataFrame, keys: list[str], k: float = 0.5, min_touches
 
 
 def breakout_trades(df: DataFrame, keys: list[str], k: float = 0.5, min_touches: int = 3, min_span: int = 0, warmup: int = 60, stop_atr: float | None = 2.0, pos: str = "pos",
-                    span_col: str | None = None) -> DataFrame:
+                    spans: dict[str, list[int]] | None = None) -> DataFrame:
     """One position at a time: next-open entry, stop ratcheting along the safety line, gap-aware fills.
 
-    ``stop_atr`` sets the initial floor; ``None`` leaves the safety line alone. ``span_col`` reads the
-    minimum span from a parameter column that is part of ``keys``.
+    ``stop_atr`` sets the initial floor; ``None`` leaves the safety line alone. ``spans`` names a further
+    key column and the minimum spans that it stands for; a series is read once for all of them.
     """
-    schema = T.StructType([df.schema[x] for x in keys] + T.StructType.fromDDL(TRADE_SCHEMA).fields)
+    axis, cells = next(iter(spans.items())) if spans else (None, [min_span])
+    own = [T.StructField(axis, T.IntegerType())] if axis else []
+    schema = T.StructType(own + [df.schema[x] for x in keys] + T.StructType.fromDDL(TRADE_SCHEMA).fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        opens, high, low, close, atr, vol = _arrays(pdf)
-        span = int(pdf[span_col].iloc[0]) if span_col else min_span
+    def walk(series: list[np.ndarray], dates: np.ndarray, span: int) -> list[tuple]:
+        opens, high, low, close, atr, vol = series
         band, lines, rows = bands(atr, k), prior_lines(low, high, span), []
-        dates, n, i = pd.to_datetime(pdf["date"]).to_numpy(), len(pdf), warmup
-        while i < n - 1:
+        lows, highs = low.tolist(), high.tolist()
+        n, free = len(close), warmup
+        for i in np.flatnonzero(candidates(lines, low, high, band)).tolist():
+            if i < free:  # a position is open
+                continue
+            if i >= n - 1:
+                break
             hit = breakout_at(i, lines, low, high, band, min_touches)
             if not hit:
-                i += 1
                 continue
             direction, act, saf, tch, gap = hit
             up = direction == "LONG"
@@ -166,7 +191,7 @@ def breakout_trades(df: DataFrame, keys: list[str], k: float = 0.5, min_touches:
                 safety = lines[j][0 if up else 1]
                 if safety is not None:
                     stop = max(stop, sign * level(safety, j))
-                worst = low[j] if up else -high[j]
+                worst = lows[j] if up else -highs[j]
                 if worst <= stop:
                     x, px = j, sign * min(sign * opens[j], stop)
                     break
@@ -177,12 +202,17 @@ def breakout_trades(df: DataFrame, keys: list[str], k: float = 0.5, min_touches:
                 act[0], act[1], saf[0], saf[1], act[3], saf[3], abs(level(act, i) - level(saf, i)) / opens[e], *tch, *ts,
                 gap / atr[i] if atr[i] > 0 else None, vol[i] / base if base > 0 else None,
             ))
-            i = x + 1
-        out = pd.DataFrame(rows, columns=[f.name for f in schema.fields[len(keys):]])
+            free = x + 1
+        return rows
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        series, dates = _arrays(pdf), pd.to_datetime(pdf["date"]).to_numpy()
+        first = [pdf[c].iloc[0] for c in keys]
+        rows = [(*([span] if axis else []), *first, *r) for span in cells for r in walk(series, dates, span)]
+        out = pd.DataFrame(rows, columns=schema.names)
         for c in ("entry_date", "exit_date"):
             out[c] = pd.to_datetime(out[c]).dt.date
-        for c in reversed(keys):
-            out.insert(0, c, pdf[c].iloc[0])
         return out
 
     return df.select(*dict.fromkeys([*keys, pos, "date", "open", "high", "low", "close", "atr", "volume"])).groupBy(*keys).applyInPandas(run, schema)

@@ -401,8 +401,7 @@ def _(spark, sf):
 @query("breakout_span_sweep")
 def _(spark, sf):
     """Minimum line span as a key column of one job: trade metrics per cell."""
-    d = with_grid(atr_panel(spark, sf), span=[0, 5, 20])
-    tr = trendlines.breakout_trades(d, ["span", "code"], min_touches=2, span_col="span")
+    tr = trendlines.breakout_trades(atr_panel(spark, sf), ["code"], min_touches=2, spans={"span": [0, 5, 20]})
     tr = tr.withColumn("net", fc.trade_net("direction", "entry", "exit", "days", F.lit(10.0), F.lit(0.05)))
     return tr.groupBy("span").agg(*[e.alias(k) if k == "n" else r6(e).alias(k) for k, e in metrics.trade_metrics("net").items()])
 
