@@ -66,7 +66,7 @@ def _timing(name, dense):
     def _(spark, sf):
         d = macd_panel(spark, sf).where("cret IS NOT NULL").select("code", "date", "cret", "macd_long")
         days = t.trading_days(spark, sf)
-        d = with_calendar(d, days)
+        d = t.dealt(spark, sf, with_calendar(d, days), "cal")
         b = book.timing_book(d, "macd_long", "cret", "cal", 0.001, dense, splits(spark, sf))
         return b.join(days, "cal").select("date", "held", *[r6(c).alias(c) for c in ("strat", "bnh", "turnover")])
 

@@ -41,7 +41,7 @@ def test_surrogates_share_one_shuffle(spark, items, monkeypatch):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["execution_abc"])
+@pytest.mark.parametrize("name", ["execution_abc", "timing_book", "timing_book_concentrated"])
 def test_prints_are_dealt_before_they_are_aggregated(spark, items, monkeypatch, name):
     plans.load()
     monkeypatch.setattr(books, "splits", lambda *_: 1)
